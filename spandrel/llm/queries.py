@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .language_id import train as train_language
 from .line_dedup import line_dedup
 from .mixing import QUALITY_WEIGHTS, mix
 from .pieces import encode
+from .quality import quality_rules
+from .quality import train as train_quality
 from .secrets_scan import secret_spans
 from .token_counts import token_counts
 
@@ -42,6 +46,17 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_FILE))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_rules(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, train_language(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_secret_scan, op6_sentencepiece, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_secret_scan, op6_sentencepiece, op7_quality_rules, op8_language_id, op9_exact_dedup, op10_mixing)}
 
 
 SQL = {

@@ -17,6 +17,7 @@ from .pieces import encode
 from .quality import quality_rules
 from .quality import train as train_quality
 from .secrets_scan import secret_spans
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 #: Names of the vocabulary files the queries take; their folder is a parameter.
@@ -29,6 +30,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -75,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_secret_scan, op6_sentencepiece, op7_quality_rules, op8_language_id, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_token_counts, op5_secret_scan, op6_sentencepiece, op7_quality_rules, op8_language_id, op9_exact_dedup, op10_mixing)}
 
 
 SQL = {

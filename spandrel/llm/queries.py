@@ -18,6 +18,7 @@ from .quality import quality_rules
 from .quality import train as train_quality
 from .secrets_scan import secret_spans
 from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 #: Names of the vocabulary files the queries take; their folder is a parameter.
@@ -30,6 +31,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -86,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_token_counts, op5_secret_scan, op6_sentencepiece, op7_quality_rules, op8_language_id, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_line_dedup, op4_token_counts, op5_secret_scan, op6_sentencepiece, op7_quality_rules, op8_language_id, op9_exact_dedup, op10_mixing)}
 
 
 SQL = {

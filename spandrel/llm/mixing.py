@@ -63,18 +63,24 @@ def unit_interval(key: str, seed: int):
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: int = 17, bins: int = BINS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: int = 17, bins: int = BINS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row;
+    weights are (doc_id, weight) rows, one an id, 1.0 for ids without a row.
 
     The fractional epoch takes whole documents in key order; the one at the
     boundary is taken if that brings the sum nearer to the target.  A null or
     wordless text has size 0 and takes nothing; a null source is a source of
-    its own, the last; a null or non-positive weight counts as the smallest
-    positive one.  Ties in keys go by doc_id.  Rows that repeat a doc_id are
+    its own, the last; a non-positive weight counts as the smallest
+    positive one, a null weight as 1.  Ties in keys go by doc_id.  Rows that repeat a doc_id are
     sampled as separate documents with one key.  An empty table gives no rows.
     """
-    weight = F.lit(1.0) if weight_col is None else F.when(F.col(weight_col) > 0, F.col(weight_col).cast("double")).otherwise(F.lit(1e-9))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"), weight.alias("weight"))
+    # texts are measured before anything is shuffled
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"))
+    if weights is None:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    else:
+        weight = F.when(F.col("weight").isNull(), 1.0).when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1e-9)
+        rows = rows.join(weights.select("doc_id", "weight"), "doc_id", "left").withColumn("weight", weight)
     u = unit_interval("doc_id", seed)
     rows = rows.withColumn("key", -F.log(u) / F.col("weight"))
     # 1 - exp(-key) grows with the key, so bins hold ascending ranges of keys
@@ -90,4 +96,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = joined.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("sum", F.col("before") + F.sum("size").over(in_bin))
     # nearest: the sum with the document is no further from the rest than without it
     once = (F.col("sum") * 2 - F.col("size")) <= F.col("rest") * 2
-    return joined.select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.when(once, 1).otherwise(0)) * F.col("size")).cast("long").alias("taken"))
+    copies = (F.col("epochs") + F.when(once, 1).otherwise(0)).cast("long")
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -72,17 +72,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def weighted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, source, weight): the sampling weight by quality label; of
-    several labels the best counts."""
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): the sampling weight by quality label; of several labels of
+    a document the best counts."""
     label = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    weight = F.when(F.col("quality") == 1, QUALITY_WEIGHTS[1]).when(F.col("quality") == 0, QUALITY_WEIGHTS[0]).otherwise(QUALITY_WEIGHTS[None])
-    return docs.select("doc_id", "text", "source").join(label, "doc_id", "left").select("doc_id", "text", "source", weight.alias("weight"))
+    return label.select("doc_id", F.when(F.col("quality") == 1, QUALITY_WEIGHTS[1]).when(F.col("quality") == 0, QUALITY_WEIGHTS[0]).otherwise(QUALITY_WEIGHTS[None]).alias("weight"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = weighted_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mix(docs, weight_col="weight").select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(table(spark, sf_dir, "documents"), weights=quality_weights(table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -163,3 +163,21 @@ def quality_rules(docs: DataFrame, model: QualityModel, threshold: float = THRES
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
     return text_columns(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the quality rules keep; what
+    quality_rules says of nulls and empty texts holds.  One pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for _, _, data, offsets in documents(batch.column(text_col)):
+                found = base_features(data, offsets)
+                n = found["n_words"]
+                passed = (n >= MIN_WORDS) & (100 * found["n_repeat_words"] <= MAX_REPEATED * n)
+                kept.append(passed & (model.probabilities(model.margins(data, offsets)) >= threshold))
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ to all documents:
 4. Chunks remove the maximal spans of windows with a smaller document.
 
 At scale: texts are shuffled once (by chunk; later steps reuse that exchange),
-hashes cost six bytes a distinct window.  A passage that a third of all
+hashes cost five bytes a distinct window (equal ones are candidates only).  A passage that a third of all
 documents share is sent once a chunk in every step, so no task sees more of it
 than there are chunks.
 """
@@ -46,7 +46,7 @@ ANCHOR = 6
 #: Documents of a chunk, and documents for each hash bucket and shard.
 CHUNK_DOCS, BUCKET_DOCS = 2048, 16384
 #: A bucket's hashes are sent with so many bits.
-SENT_BITS = 48
+SENT_BITS = 40
 
 
 class Chunk:

@@ -51,6 +51,7 @@ class FrameSpace:
         self.frame = cut(domain.select("idx"))
         self._n = 0
         self._given: list[str] = []
+        self._cached: list[DataFrame] = []
 
     def _fresh(self) -> str:
         self._n += 1
@@ -64,7 +65,9 @@ class FrameSpace:
 
     def _joined(self, v: DataFrame) -> FrameVector:
         name = self._fresh()
-        self.frame = cut(self.frame.join(v.select("idx", F.col("val").alias(name)), "idx", "left").na.fill(0.0, [name]))
+        # cached until settle(): if an executor is lost, it is computed again from the last cut
+        self.frame = self.frame.join(v.select("idx", F.col("val").alias(name)), "idx", "left").na.fill(0.0, [name]).persist()
+        self._cached.append(self.frame)
         return FrameVector(self, F.col(name))
 
     def zeros(self) -> FrameVector:
@@ -88,6 +91,9 @@ class FrameSpace:
         """The vectors as columns of a new, materialised frame, beside the given ones."""
         names = [self._fresh() for _ in vectors]
         self.frame = cut(self.frame.select("idx", *self._given, *[v.column.alias(n) for v, n in zip(vectors, names)]))
+        for df in self._cached:
+            df.unpersist()
+        self._cached.clear()
         return [FrameVector(self, F.col(n)) for n in names]
 
 

@@ -536,13 +536,13 @@ def rs_interpolation(spark, d):
 # ---- solvers: A x is b
 
 
-def _solved(spark: SparkSession, solver: Callable[[FrameSpace], object], a: DataFrame, b: DataFrame, x: DataFrame | None = None, tol: float = 1e-10) -> DataFrame:
+def _solved(spark: SparkSession, solver: Callable[[FrameSpace], object], a: DataFrame, b: DataFrame, x: DataFrame | None = None, tol: float = 1e-7) -> DataFrame:
     space = FrameSpace(a, b.select("idx"))
     v = space.vector(b)
     norm = float(np.sqrt(space.dots((v, v))[0]))
     s = solver(space)
     found, result = s.solve(v, None if x is None else space.vector(x), K.relative(norm, tol))
-    return S.spmv(a, space.frame_of(found)).select("idx", F.round("val", 4).alias("val"), F.lit(result.solved).alias("solved"))
+    return S.spmv(a, space.frame_of(found)).select("idx", F.round("val", 3).alias("val"), F.lit(result.solved).alias("solved"))
 
 
 _SOLVED = f"WITH {_X} SELECT idx, val, true AS solved FROM x"
@@ -564,7 +564,7 @@ for _name, _make in {
     "cg": lambda s, g: K.CG(s, None, 60), "cr": lambda s, g: K.CR(s, None, 60), "gcr": lambda s, g: K.GCR(s, _through(s, P.jacobi(g)), 60),
     "bicgstab": lambda s, g: K.BiCGStab(s, None, 60), "fgmres": lambda s, g: K.FGMRES(s, _through(s, P.spai0(g)), 40),
     "fgmres_restarted": lambda s, g: K.Restarted(K.FGMRES(s, None, 8), 10),
-    "richardson": lambda s, g: K.Richardson(s, None, 120, 0.4), "auto_richardson": lambda s, g: K.Restarted(K.AdaptiveRichardson(s, None, 8, 1), 20),
+    "richardson": lambda s, g: K.Richardson(s, None, 80, 0.42), "auto_richardson": lambda s, g: K.Restarted(K.AdaptiveRichardson(s, None, 8, 1), 20),
 }.items():
     _QUERIES[_name], _SQL[_name] = _gram_solver(_make), _SOLVED
 

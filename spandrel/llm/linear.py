@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, utf8, word_hashes, words
@@ -59,11 +59,16 @@ def means(table: np.ndarray, parts) -> np.ndarray:
     return total
 
 
-def sample(labelled: DataFrame, id_col: str, label_col: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows a label, by a hash of the id; the hash order makes
-    the sample the same on every run."""
-    order = Window.partitionBy(label_col).orderBy(F.xxhash64(F.col(id_col), F.lit(5)), F.col(id_col))
-    return labelled.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+def sample(labelled: DataFrame, id_col: str, label_col: str, limit: int, most: int = 256) -> DataFrame:
+    """About ``limit`` rows a label at most, chosen by a hash of the id whose range is
+    fitted to the label's number of rows; the same on every run.  Of more than
+    ``most`` labels the most frequent are taken."""
+    counts = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most).collect()
+    if not counts:
+        return labelled.where(F.lit(False))
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label_col], min(1.0, limit / r["count"]))])
+    return labelled.where(u < F.try_element_at(share, F.col(label_col)))
 
 
 def documents(texts: pa.ChunkedArray, size: int = 1 << 18):

@@ -86,11 +86,11 @@ def fit(texts: list[str], y: np.ndarray, held: np.ndarray, epochs: int = 40, rat
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """A model from labelled documents: at most ``limit`` of each label, chosen by
+    """A model from labelled documents: about ``limit`` of each label at most, chosen by
     a hash of the id.  Labels other than 0 and 1, null ids and null texts are not
     used; of several labels of a document the smallest counts."""
     clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"))
-    chosen = sample(clean, "doc_id", "y", limit)  # 2 * limit rows at most
+    chosen = sample(clean, "doc_id", "y", limit)  # about 2 * limit rows at most
     rows = text_columns(docs, id_col, text_col).where("text is not null").join(F.broadcast(chosen), "doc_id")
     got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(4)).alias("part")).orderBy("doc_id").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)

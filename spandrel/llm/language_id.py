@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_columns
-from .linear import BITS, documents, features, means
+from .linear import BITS, documents, features, means, sample
 
 #: Documents used for training, at most, for each language.
 TRAIN_LIMIT = 400
@@ -112,14 +112,11 @@ def train(docs: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "doc_id", tex
     whose range is fitted to the language's number of documents."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where((F.coalesce(remainder("doc_id"), F.lit(0)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return LanguageModel([], np.zeros(((len(GRAMS) + 1) << BITS, 1), np.float32), np.zeros(1))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, limit / r["count"]))])
-    chosen = known.where(u < share[F.col("lang")]).withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(4)))
+    chosen = sample(known, "doc_id", "lang", limit, MAX_LANGUAGES).withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(4)))
     got = chosen.orderBy("doc_id", "lang", "text").toArrow()
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(set(got.column("lang").to_pylist()))
+    if not languages:
+        return LanguageModel([], np.zeros(((len(GRAMS) + 1) << BITS, 1), np.float32), np.zeros(1))
     y = np.array([languages.index(x) for x in got.column("lang").to_pylist()], np.int64)
     return fit(got.column("text").to_pylist(), y, got.column("part").to_numpy() == 0, languages)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vec as V
@@ -237,8 +237,6 @@ def column_histogram(spark, d):
 
 # ---- formats
 
-_LIST = "list(struct_pack({k} := {k}, val := val) ORDER BY {k}, val)"
-
 
 @query(f"WITH {_P}, c AS (SELECT row, list(col ORDER BY col) AS cols, list(val ORDER BY col) AS vals FROM p GROUP BY row) SELECT * FROM c")
 def coo_to_csr(spark, d):
@@ -637,7 +635,7 @@ def cocg_complex(spark, d):
         ax = apply(x)
         return pa.table({"idx": np.arange(n), "re": np.round(ax.real, 4) + 0.0, "im": np.round(ax.imag, 4) + 0.0})
 
-    return Z.hpcg(spark, 5).withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(lambda t: run(t), "idx long, re double, im double")
+    return Z.hpcg(spark, 5).withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(run, "idx long, re double, im double")
 
 
 # ---- reports, over result rows derived from orders
@@ -721,6 +719,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-__all__ = ["oracle_sql", "queries", "Window"]

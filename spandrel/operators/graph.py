@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 from . import kernels as K
 from .blocks import graph_labels
 from .structure import ordered_by, reordered
@@ -33,9 +33,9 @@ def colored_parallel(g: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(idx, color) for graphs of any size: in every round the nodes whose hash is the
     largest among their free neighbours take the smallest colour their neighbours
     do not have.  A valid colouring, but not that of index order."""
-    edges = cut(g.where("src <> dst").select("src", "dst").distinct())
+    edges = written(g.where("src <> dst").select("src", "dst").distinct())
     order = F.xxhash64("idx")
-    state = cut(g.select(F.col("src").alias("idx")).union(g.select(F.col("dst").alias("idx"))).distinct().select("idx", order.alias("h"), F.lit(None).cast("long").alias("color")))
+    state = written(g.select(F.col("src").alias("idx")).union(g.select(F.col("dst").alias("idx"))).distinct().select("idx", order.alias("h"), F.lit(None).cast("long").alias("color")))
     for _ in range(most_rounds):
         far = state.select(F.col("idx").alias("dst"), F.col("h").alias("_h"), F.col("color").alias("_c"))
         seen = edges.join(far, "dst").groupBy(F.col("src").alias("idx")).agg(F.max(F.when(F.col("_c").isNull(), F.struct("_h", F.col("dst").alias("_i")))).alias("top"), F.collect_set("_c").alias("used"))
@@ -43,7 +43,7 @@ def colored_parallel(g: DataFrame, most_rounds: int = 200) -> DataFrame:
         first = F.col("color").isNull() & (F.col("top").isNull() | (F.struct(F.col("h").alias("_h"), F.col("idx").alias("_i")) > F.col("top")))
         used = F.coalesce("used", F.array().cast("array<bigint>"))
         free = F.array_min(F.array_except(F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda c: c.cast("long")), used))
-        state = cut(now.select("idx", "h", F.when(first, free).otherwise(F.col("color")).alias("color")))
+        state = written(now.select("idx", "h", F.when(first, free).otherwise(F.col("color")).alias("color")))
         if state.where("color is null").limit(1).count() == 0:
             return state.select("idx", "color")
     raise RuntimeError("colouring did not end")

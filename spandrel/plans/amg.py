@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import kernels as K
 from ..operators.spmat import galerkin, residual, spmv, transpose
 from ..operators.structure import by_coarseness, strong_weak
-from ..session import cut
+from ..session import written
 from .precond import smoother, spai0
 
 THETA = 0.6
@@ -72,18 +72,18 @@ class AMG:
 
     def __init__(self, a: DataFrame, domain: DataFrame, theta: float = THETA, smallest: int = 200, most: int = 10, steps: int = 1):
         self.levels = []
-        a, domain = cut(a), cut(domain.select("idx"))
+        a, domain = written(a), written(domain.select("idx"))
         while True:
             n = domain.count()
             if n <= smallest or len(self.levels) + 1 >= most:
                 break
-            points = cut(coarse_points(strong_weak(a, theta).where("strong"), domain))
+            points = written(coarse_points(strong_weak(a, theta).where("strong"), domain))
             m = points.where("coarse").count()
             if m == 0 or m == n:
                 break
-            p = cut(interpolation(a, points, theta))
+            p = written(interpolation(a, points, theta))
             self.levels.append((a, p, smoother(a, spai0(a), steps), domain))
-            a, domain = cut(galerkin(a, p)), cut(points.where("coarse").select("idx"))
+            a, domain = written(galerkin(a, p)), written(points.where("coarse").select("idx"))
         if n > 5000:
             raise ValueError(f"coarsest level has {n} points")
         self.domain = domain
@@ -104,9 +104,9 @@ class AMG:
             return self._coarsest(b)
         a, p, smooth, domain = self.levels[level]
         x = smooth(b, domain.select("idx", F.lit(0.0).alias("val")))
-        coarse = self.cycle(cut(spmv(transpose(p), residual(a, x, b))), level + 1)
+        coarse = self.cycle(written(spmv(transpose(p), residual(a, x, b))), level + 1)
         fix = spmv(p, coarse).withColumnRenamed("val", "_c")
-        x = cut(x.join(fix, "idx", "left").select("idx", (F.col("val") + F.coalesce("_c", F.lit(0.0))).alias("val")))
+        x = written(x.join(fix, "idx", "left").select("idx", (F.col("val") + F.coalesce("_c", F.lit(0.0))).alias("val")))
         return smooth(b, x)
 
     def __call__(self, r: DataFrame) -> DataFrame:

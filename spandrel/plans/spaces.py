@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spmat import spmv
-from ..session import cut
+from ..session import written
 
 
 class FrameVector:
@@ -48,7 +48,7 @@ class FrameSpace:
 
     def __init__(self, a: DataFrame, domain: DataFrame):
         self.a = a
-        self.frame = cut(domain.select("idx"))
+        self.frame = written(domain.select("idx"))
         self._n = 0
         self._given: list[str] = []
         self._cached: list[DataFrame] = []
@@ -65,7 +65,7 @@ class FrameSpace:
 
     def _joined(self, v: DataFrame) -> FrameVector:
         name = self._fresh()
-        # cached until settle(): if an executor is lost, it is computed again from the last cut
+        # cached until settle(): if an executor is lost, it is computed again from the last table
         self.frame = self.frame.join(v.select("idx", F.col("val").alias(name)), "idx", "left").na.fill(0.0, [name]).persist()
         self._cached.append(self.frame)
         return FrameVector(self, F.col(name))
@@ -90,7 +90,7 @@ class FrameSpace:
     def settle(self, *vectors: FrameVector) -> list[FrameVector]:
         """The vectors as columns of a new, materialised frame, beside the given ones."""
         names = [self._fresh() for _ in vectors]
-        self.frame = cut(self.frame.select("idx", *self._given, *[v.column.alias(n) for v, n in zip(vectors, names)]))
+        self.frame = written(self.frame.select("idx", *self._given, *[v.column.alias(n) for v, n in zip(vectors, names)]))
         for df in self._cached:
             df.unpersist()
         self._cached.clear()

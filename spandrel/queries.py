@@ -25,7 +25,7 @@ from .plans import nested as N
 from .plans import precond as P
 from .plans import report as R
 from .plans.spaces import FrameSpace
-from .session import cut
+from .session import written
 from .sources import stencils as Z
 from .sources.tables import embedding_matrix, order_supplier, part_supplier, supplier_index, table
 
@@ -523,7 +523,7 @@ def rs_interpolation(spark, d):
     exactly there; every fine point depends on a coarse one."""
     a = Z.hpcg(spark, 7)
     domain = spark.range(343).withColumnRenamed("id", "idx")
-    points = cut(A.coarse_points(X.strong_weak(a).where("strong"), domain))
+    points = written(A.coarse_points(X.strong_weak(a).where("strong"), domain))
     p = A.interpolation(a, points)
     inside = spark.range(343).where("id % 7 between 1 and 5 and id div 7 % 7 between 1 and 5 and id div 49 between 1 and 5").withColumnRenamed("id", "row")
     sums = p.groupBy("row").agg(F.sum("val").alias("s")).join(inside, "row").agg(F.count(F.when(F.abs(F.col("s") - 1) > 0.05, 1)).alias("bad_rows"))
@@ -548,7 +548,7 @@ _SOLVED = f"WITH {_X} SELECT idx, val, true AS solved FROM x"
 
 def _gram_solver(make: Callable[[FrameSpace, DataFrame], object]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = cut(X.scaled_symmetric(gram_matrix(spark, d)))
+        g = written(X.scaled_symmetric(gram_matrix(spark, d)))
         return _solved(spark, lambda s: make(s, g), g, ones_up(spark, d))
 
     return run
@@ -569,14 +569,14 @@ for _name, _make in {
 
 @query("SELECT range AS idx, (range + 1)::DOUBLE AS val, true AS solved FROM range(343)")
 def amg_vcycle(spark, d):
-    a = cut(Z.hpcg(spark, 7))
+    a = written(Z.hpcg(spark, 7))
     m = A.AMG(a, spark.range(343).withColumnRenamed("id", "idx"), smallest=100)
     return _solved(spark, lambda s: K.CG(s, _through(s, m), 40), a, Z.iota(spark, 343, 1))
 
 
 @query("SELECT range AS idx, (range + 1)::DOUBLE AS val, true AS solved FROM range(216)")
 def block_ilu_cg(spark, d):
-    a = cut(X.scaled_symmetric(Z.hpcg(spark, 6)))
+    a = written(X.scaled_symmetric(Z.hpcg(spark, 6)))
     m = P.BlockILU(a, 216, 4)
     return _solved(spark, lambda s: K.CG(s, _through(s, m), 60), a, Z.iota(spark, 216, 1))
 
@@ -598,7 +598,7 @@ def _nested(config: N.Config, spd_only: bool = False) -> Query:
         a, b = _systems(spark)
         if spd_only:
             a, b = a.where("system = 'hpcg'"), b.where("system = 'hpcg'")
-        x = cut(N.solve_systems(a, b, config))
+        x = written(N.solve_systems(a, b, config))
         done = x.groupBy("system").agg(F.min("solved").alias("solved"))
         scaled = a.withColumn("val", F.col("val") / 26.0)  # all diagonals are 26
         ax = scaled.join(x.select("system", F.col("idx").alias("col"), "x"), ["system", "col"]).groupBy("system", F.col("row").alias("idx")).agg(F.round(F.sum(F.col("val") * F.col("x")), 3).alias("ax"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,14 +19,23 @@ def session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSe
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder that spark.checkpoint.dir names (a
-    temporary folder only where that is unset), so iterations keep short lineages
-    and survive lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spandrel-"))
-    return df.checkpoint(eager=True)
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: under spark.checkpoint.dir, a temporary one only where that is unset."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spandrel-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for iterations.
+
+    A checkpoint keeps its plan's size estimate, which a join multiplies: an
+    iterate that is joined twice a step squares it, and planning soon takes longer
+    than the work.  A table's size is that of its files."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def positioned(df: DataFrame, name: str = "pos") -> DataFrame:

@@ -47,9 +47,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     taken = mix(docs, weights=quality_weights(table(spark, sf_dir, "labels")))
-    copies = taken.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    copies = taken.groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("n")).where("n > 0")
+    # whole rows travel in one struct, so no column of docs can clash
+    rows = docs.select(F.struct("*").alias("row")).join(copies, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from spandrel.llm.queries import PIECE_FILE, tokenizer_path
@@ -43,3 +44,16 @@ def test_run_and_odd_rows(spark, odd, empty):
     for frame in (docs, empty):
         for _, stage in C.STAGES:
             stage(spark, frame, SF).collect()
+
+
+def test_clashing_columns(spark, odd):
+    docs = odd
+    for name in ("_kept", "_id", "_copies", "_copy", "id", "n", "row", "col"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    before = docs.count()
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.names == docs.schema.names
+        rows = out.collect()
+        assert all(r["_copy"] == r["row"] == r["id"] == "clash" for r in rows) and len({tuple(r) for r in rows}) <= before
+    assert C.mixed(spark, docs, SF).count() > 0

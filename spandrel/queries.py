@@ -88,6 +88,17 @@ def vec_arith(spark, d):
     return out
 
 
+@query("SELECT c_custkey AS idx, c_acctbal + o AS add, c_acctbal - o AS sub, c_acctbal * o AS mul, CASE WHEN o <> 0 THEN c_acctbal / o WHEN c_acctbal > 0 THEN 'inf'::DOUBLE WHEN c_acctbal < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS div FROM (SELECT c_custkey, c_acctbal, (c_custkey % 7)::DOUBLE AS o FROM customer)")
+def vec_arith_whole(spark, d):
+    """vec_arith over every customer, divisors that are 0 included."""
+    x = _numbers(spark, d)
+    y = x.select("idx", (F.col("idx") % 7).cast("double").alias("val"))
+    out = x.select("idx")
+    for op in V.OPERATORS:
+        out = out.join(V.combined(x, y, op).withColumnRenamed("val", op), "idx")
+    return out
+
+
 @query("SELECT c_custkey AS idx, 1 / (c_acctbal - 20000) AS inv, -c_acctbal AS neg, abs(c_acctbal) AS abs, round(sqrt(abs(c_acctbal)), 6) AS sqrt FROM customer")
 def vec_inv_sqrt_abs(spark, d):
     x = _numbers(spark, d)

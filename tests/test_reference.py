@@ -46,6 +46,14 @@ def test_query_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
 
 
+def test_arithmetic_takes_every_customer(spark):
+    want = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    got = {r.idx: r.div for r in Q.queries()["vec_arith_whole"](spark, SF).collect()}
+    zeros = [k for k in want if k % 7 == 0]
+    assert got.keys() == want.keys() and zeros
+    assert all(got[k] == np.copysign(np.inf, want[k]) if want[k] else np.isnan(got[k]) for k in zeros)
+
+
 # sources
 
 

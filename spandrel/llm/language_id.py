@@ -29,7 +29,7 @@ from .linear import BITS, documents, features, means, sample
 
 #: Documents used for training, at most, for each language.
 TRAIN_LIMIT = 400
-#: Languages learnt at most, the most frequent ones: the bound of the model.
+#: Languages learnt at most, the bound of the model; training refuses more.
 MAX_LANGUAGES = 256
 #: Share of the calibration documents that rejection may lose.
 REJECT_SHARE = 0.01
@@ -109,7 +109,8 @@ def remainder(id_col: str):
 def train(docs: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from documents whose crc32(id) mod 3 is not 1 and whose language and
     text are known: at most about ``limit`` a language, chosen by a hash of the id
-    whose range is fitted to the language's number of documents."""
+    whose range is fitted to the language's number of documents.  More than
+    MAX_LANGUAGES languages raise a ValueError."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where((F.coalesce(remainder("doc_id"), F.lit(0)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = sample(known, "doc_id", "lang", limit, MAX_LANGUAGES).withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(4)))

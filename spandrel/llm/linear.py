@@ -61,9 +61,11 @@ def means(table: np.ndarray, parts) -> np.ndarray:
 
 def sample(labelled: DataFrame, id_col: str, label_col: str, limit: int, most: int = 256) -> DataFrame:
     """About ``limit`` rows a label at most, chosen by a hash of the id whose range is
-    fitted to the label's number of rows; the same on every run.  Of more than
-    ``most`` labels the most frequent are taken."""
-    counts = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most).collect()
+    fitted to the label's number of rows; the same on every run.  More than ``most``
+    labels are refused: the sample and the model grow with their number."""
+    counts = labelled.groupBy(label_col).count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} values of {label_col}; none may be left out")
     if not counts:
         return labelled.where(F.lit(False))
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)

@@ -308,6 +308,14 @@ def test_language_id(odd, empty, spark):
     assert {r.lang_pred for r in language_id(odd, train_language(empty)).collect()} == {"und"}
 
 
+def test_no_language_is_left_out(make, monkeypatch):
+    monkeypatch.setattr("spandrel.llm.language_id.MAX_LANGUAGES", 3)
+    docs = make(*[(i, f"text of {'abcd'[i % 4]}", "abcd"[i % 4]) for i in range(80)])
+    assert train_language(docs.where("lang <> 'd'")).languages == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="more than 3"):
+        train_language(docs)
+
+
 # mixing
 
 

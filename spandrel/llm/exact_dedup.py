@@ -9,8 +9,8 @@ it has; such rows are nonmembers and are grouped among themselves.
 
 At scale: only 32-byte digests and ids are shuffled, never texts.  Groups of
 copies larger than 1/HOT_SHARE of all rows (at most HOT_SHARE of them, so the
-broadcast is bounded) are answered where the rows are; all other groups are
-small against a shard.
+broadcast is bounded) have a shard of their own, which is sent to the rows; all
+other groups are small against a shard.
 """
 
 from __future__ import annotations
@@ -66,14 +66,14 @@ def perfect_hash(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     big = np.argsort(-size, kind="stable")
     for k in big[size[big] > 1]:
         keys = order[begin[k] : begin[k + 1]]
+        if len(np.unique(number[keys])) < len(keys):  # no displacement parts equal numbers
+            raise ValueError("digests do not differ enough for a perfect hash")
         seed = 0
         while True:
             at = _displaced(number[keys], np.full(len(keys), seed), n)
             if not taken[at].any() and len(np.unique(at)) == len(at):
                 break
             seed += 1
-            if seed > 50 * n + 1000:  # keys of one bucket that no displacement parts: equal numbers
-                raise ValueError("digests do not differ enough for a perfect hash")
         seeds[k], slots[keys], taken[at] = seed, at, True
     single = big[size[big] == 1]
     free = np.flatnonzero(~taken)[: len(single)]
@@ -119,22 +119,36 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
 
 
+_FOUND = "doc_id long, digest binary, member boolean, winner long, copies long"
+
+
+def _find(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Rows (doc_id, digest) with what the shard in right, if any, has of them."""
+    n_rows = left.num_rows
+    member, winner, none, copies = np.zeros(n_rows, bool), np.zeros(n_rows, np.int64), np.ones(n_rows, bool), np.zeros(n_rows, np.int64)
+    if n_rows and right.num_rows:
+        d, n = _matrix(left.column("digest")), right.column("n")[0].as_py()
+        unpack = lambda name, kind: np.frombuffer(right.column(name)[0].as_py(), kind)
+        at = slot_of(d, unpack("seeds", np.int64), n)
+        member = (unpack("slots", np.uint8).reshape(n, 32)[at] == d).all(axis=1)
+        winner, none, copies = unpack("winners", np.int64)[at], unpack("no_winner", bool)[at] | ~member, unpack("copies", np.int64)[at]
+    return pa.table({"doc_id": left.column("doc_id"), "digest": left.column("digest"), "member": member, "winner": pa.array(winner, mask=none), "copies": pa.array(copies, mask=~member)})
+
+
 def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """(doc_id, digest, member, winner, copies) of (doc_id, digest) rows."""
+    keyed = rows.select("doc_id", "digest", _shard(shards))
+    return keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_find, _FOUND)
 
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        n_rows = left.num_rows
-        member, winner, none, copies = np.zeros(n_rows, bool), np.zeros(n_rows, np.int64), np.ones(n_rows, bool), np.zeros(n_rows, np.int64)
-        if n_rows and right.num_rows:
-            d, n = _matrix(left.column("digest")), right.column("n")[0].as_py()
-            unpack = lambda name, kind: np.frombuffer(right.column(name)[0].as_py(), kind)
-            at = slot_of(d, unpack("seeds", np.int64), n)
-            member = (unpack("slots", np.uint8).reshape(n, 32)[at] == d).all(axis=1)
-            winner, none, copies = unpack("winners", np.int64)[at], unpack("no_winner", bool)[at] | ~member, unpack("copies", np.int64)[at]
-        return pa.table({"doc_id": left.column("doc_id"), "digest": left.column("digest"), "member": member, "winner": pa.array(winner, mask=none), "copies": pa.array(copies, mask=~member)})
 
-    keyed = rows.select("doc_id", "digest", _shard(shards))
-    return keyed.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(find, "doc_id long, digest binary, member boolean, winner long, copies long")
+def lookup_in_place(rows: DataFrame, shard: pa.Table) -> DataFrame:
+    """The same against one small shard that travels with the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _find(pa.Table.from_batches([batch]), shard).to_batches()
+
+    return rows.select("doc_id", "digest").mapInArrow(run, _FOUND)
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -160,10 +174,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # copies add up to n at most, so this broadcast has HOT_SHARE rows at most
     hot = history.where(F.col("copies") > max(1000, n // HOT_SHARE))
     shards = by_key(SHARD_ROWS, spark, n)
-    index = build_index(history.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), shards)
-    seen = rows.join(F.broadcast(hot.withColumnRenamed("winner", "hot_winner").withColumnRenamed("copies", "hot_copies")), "digest", "left")
-    answered = seen.where("hot_copies is not null").select("doc_id", "digest", F.lit(True).alias("member"), F.col("hot_winner").alias("winner"), F.col("hot_copies").alias("copies"))
-    others = lookup(seen.where("hot_copies is null").select("doc_id", "digest"), index, shards)
+    is_hot = F.broadcast(hot.select("digest"))
+    index = build_index(history.join(is_hot, "digest", "left_anti"), shards)
+    answered = lookup_in_place(rows.join(is_hot, "digest", "left_semi"), build_index(hot, 1).toArrow())
+    others = lookup(rows.join(is_hot, "digest", "left_anti"), index, shards)
     found = answered.unionByName(others)
     keep = F.when(F.col("member"), F.col("winner")).otherwise(F.col("doc_id"))
     return found.select(

@@ -69,6 +69,24 @@ def test_perfect_hash(n):
     assert sorted(slots) == list(range(n)) and (E.slot_of(d, seeds, n) == slots).all()
 
 
+@pytest.mark.parametrize(("seed", "n"), [(1749, 18), (14900, 15), (11747, 21)])
+def test_perfect_hash_of_full_buckets(seed, n):
+    d = np.random.default_rng(seed).integers(0, 256, (n, 32), dtype=np.uint8)
+    seeds, slots = E.perfect_hash(d)
+    assert sorted(slots) == list(range(n)) and (E.slot_of(d, seeds, n) == slots).all()
+    with pytest.raises(ValueError, match="do not differ"):
+        E.perfect_hash(np.repeat(d[:1], 3, axis=0))
+
+
+def test_hot_groups_are_in_the_hash(make, monkeypatch):
+    indexed, build = [], E.build_index
+    monkeypatch.setattr(E, "build_index", lambda history, shards: indexed.extend(r.copies for r in history.collect()) or build(history, shards))
+    docs = make(*[(i, "same" if i % 3 else f"own {i // 2}") for i in range(4000)], (None, "same"))
+    rows = E.exact_dedup(docs).collect()
+    assert sorted(indexed) == sorted(r.group_size for r in rows if r.kept and r.group_size > 1)
+    assert {(r.keep_id, r.group_size, r.kept) for r in rows if r.doc_id is None} == {(3998, 2667, False)}
+
+
 # substrings
 
 

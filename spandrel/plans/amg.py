@@ -20,10 +20,13 @@ from .precond import smoother, spai0
 THETA = 0.6
 
 
-def coarse_points(strong: DataFrame, domain: DataFrame) -> DataFrame:
-    """(idx, coarse) of the domain, from strong entries (row, col)."""
+def coarse_points(strong: DataFrame, domain: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """(idx, coarse) of the domain, from strong entries (row, col).  ``most`` bounds the
+    strong entries and points that the sequential choice takes together."""
 
     def run(t: pa.Table) -> pa.Table:
+        if t.num_rows > most:
+            raise ValueError(f"{t.num_rows} strong entries and points; the choice of coarse points takes {most}")
         strong_of: dict[int, set[int]] = {}
         for i, j in zip(t.column("row").to_pylist(), t.column("col").to_pylist()):
             strong_of.setdefault(i, set())

@@ -13,7 +13,7 @@ from spandrel.operators import formats as T
 from spandrel.operators import kernels as K
 from spandrel.operators import spmat as S
 from spandrel.operators import structure as X
-from spandrel.plans import krylov, nested, report
+from spandrel.plans import amg, krylov, nested, report
 from spandrel.plans.spaces import LocalSpace
 from spandrel.sources import matrix_market as M
 from spandrel.sources import stencils as Z
@@ -46,6 +46,15 @@ def test_query_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
 
 
+def test_coarse_points_refuse_large_patterns(spark):
+    strong = Z.hpcg(spark, 3).where("row <> col")
+    domain = spark.range(27).withColumnRenamed("id", "idx")
+    size = strong.count() + 27
+    assert amg.coarse_points(strong, domain, size).count() == 27
+    with pytest.raises(Exception, match=f"{size} strong entries and points"):
+        amg.coarse_points(strong, domain, size - 1).collect()
+
+
 def test_arithmetic_takes_every_customer(spark):
     want = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
     got = {r.idx: r.div for r in Q.queries()["vec_arith_whole"](spark, SF).collect()}

@@ -387,6 +387,12 @@ def graph_symmetrize(spark, d):
     return G.symmetrized(_customer_graph(spark, d))
 
 
+@query("WITH e AS (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def graph_symmetrize_whole(spark, d):
+    """The whole part to supplier pattern: parts have even numbers, suppliers odd ones."""
+    return G.symmetrized(table(spark, d, "lineitem").select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct())
+
+
 _FIRST_FIT = f"""WITH RECURSIVE {_stencil(4)}, c(i, cs) AS (SELECT 0, [1] UNION ALL
 SELECT i + 1, list_append(cs, (SELECT min(k) FROM range(1, 40) t(k) WHERE k NOT IN (SELECT cs[h.col + 1] FROM h WHERE h.row = c.i + 1 AND h.col <= c.i))::INTEGER) FROM c WHERE i < 63)
 SELECT (generate_subscripts(cs, 1) - 1)::BIGINT AS idx, unnest(cs)::BIGINT AS color FROM c WHERE i = 63"""

@@ -55,6 +55,12 @@ def test_coarse_points_refuse_large_patterns(spark):
         amg.coarse_points(strong, domain, size - 1).collect()
 
 
+def test_graph_takes_every_part(spark):
+    want = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    got = [(r.src, r.dst) for r in Q.queries()["graph_symmetrize_whole"](spark, SF).collect()]
+    assert len(got) == 2 * len(want) and {(a // 2, b // 2) for a, b in got if a % 2 == 0} == want
+
+
 def test_arithmetic_takes_every_customer(spark):
     want = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
     got = {r.idx: r.div for r in Q.queries()["vec_arith_whole"](spark, SF).collect()}

@@ -19,21 +19,34 @@ def session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSe
     )
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: under spark.checkpoint.dir, a temporary one only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
+    session.  A temporary folder of this machine serves only a local master where
+    that is unset, as in tests; elsewhere it would lose data, so this raises."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spandrel-"))
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spandrel-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a later table has superseded."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for iterations.
 
     A checkpoint keeps its plan's size estimate, which a join multiplies: an
     iterate that is joined twice a step squares it, and planning soon takes longer
     than the work.  A table's size is that of its files."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

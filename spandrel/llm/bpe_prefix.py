@@ -6,27 +6,67 @@ is right: the one that its left neighbour (the last token of s[:j]) leaves
 alone when the two are merged by themselves.  So one pass over the prefixes
 keeps the last token and the number of tokens of every prefix, and a sorted
 list of words can share the states of common prefixes.
+
+The vocabulary entries that end at a position are those of an automaton's
+state: the longest suffix read so far that begins some entry.  States and moves
+are made when they are first met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from array import array
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 _NEVER = float("inf")
 
 
+class Trail:
+    """What is known of every prefix of a string: the automaton's state and the
+    number of the last token.  A compact one, for long strings that share nothing,
+    keeps the last state only."""
+
+    def __init__(self, root: tuple, compact: bool = False):
+        self.states = deque([root], 1) if compact else [root]
+        self.last = array("i", [-1]) if compact else [-1]
+
+    def cut(self, size: int) -> None:
+        """Keep the prefixes of up to ``size`` symbols."""
+        del self.states[size + 1 :], self.last[size + 1 :]
+
+
 class PrefixStates:
-    """Last-token starts and token counts of every prefix of a string.
+    """Last tokens of every prefix of a string.
 
     rank(a, b) is the priority of merging a and b (lower is earlier, None is
-    never); tokens are the strings that can result from merges.
+    never); tokens are the strings that can result from merges.  Tokens are
+    numbered in the order given; symbols outside the vocabulary get numbers
+    when they are met.  ``memo`` bounds the pairs and the moves remembered.
     """
 
-    def __init__(self, rank: Callable[[str, str], float | None], tokens: set[str], memo: int = 1 << 18):
-        self.rank, self.tokens, self.memo = rank, tokens, memo
-        self.longest = max(map(len, tokens), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.grown: dict[str, tuple | None] = {}
+    def __init__(self, rank: Callable[[str, str], float | None], tokens: Iterable[str], memo: int = 1 << 20):
+        self.rank, self.memo = rank, memo
+        self.names = list(tokens)
+        self.number = {t: i for i, t in enumerate(self.names)}
+        self.sizes = [len(t) for t in self.names]
+        self.prefixes = {t[:i] for t in self.names for i in range(1, len(t) + 1)}
+        self.grown: dict[int, tuple | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # a state: its moves, the tokens that end there as (size, number, left
+        # neighbours known to leave it alone or not), the longest first, and its name
+        self.root: tuple = ({}, [], "")
+        self.states = {"": self.root}
+        self.neighbours: dict[int, dict[int, bool]] = {}
+        self.n_moves = self.n_pairs = 0
+
+    def _numbered(self, symbol: str) -> int:
+        if symbol not in self.number:
+            self.number[symbol] = len(self.names)
+            self.names.append(symbol)
+            self.sizes.append(len(symbol))
+        return self.number[symbol]
 
     def merged(self, s: str) -> tuple[list[str], list[tuple[float, int, int]]]:
         """Encoding by merging the best pair, leftmost first, from single symbols;
@@ -47,14 +87,15 @@ class PrefixStates:
             made.append((time, start, start + len(parts[at])))
         return parts, made
 
-    def _sides(self, t: str):
+    def _sides(self, token: int):
         """For a token that its own symbols merge into: how its first and its last
         part grow, as (part, time at which it is merged further); else None."""
-        if t in self.grown:
-            return self.grown[t]
+        if token in self.grown:
+            return self.grown[token]
+        t = self.names[token]
         parts, made = self.merged(t)
         if parts != [t]:
-            self.grown[t] = None
+            self.grown[token] = None
             return None
         left, right, n = [], [], len(t)
         first, final = t[:1], t[-1:]
@@ -67,10 +108,10 @@ class PrefixStates:
                 final = t[start:]
         left.append((t, _NEVER))
         right.append((t, _NEVER))
-        self.grown[t] = left, right
+        self.grown[token] = left, right
         return left, right
 
-    def _stays(self, a: str, b: str) -> bool:
+    def _stays(self, a: int, b: int) -> bool:
         """Whether a and b side by side merge into themselves only: no pair of a's
         growing end and b's growing beginning is merged before they grow on."""
         ends, begins, i, j = self._sides(a)[1], self._sides(b)[0], 0, 0
@@ -87,64 +128,92 @@ class PrefixStates:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= self.memo:
-            self.pairs.clear()
-        self.pairs[a, b] = stays
+        self.neighbours[b][a] = stays
+        self.n_pairs += 1
         return stays
 
-    def extend(self, s: str, last: list[int], count: list[int]) -> None:
-        """Carry last and count (of prefixes 0 .. len(last) - 1) on to all of s."""
-        tokens, longest, grown, pairs = self.tokens, self.longest, self.grown, self.pairs
-        for i in range(len(last), len(s) + 1):
-            # one candidate is right, and it is most often a short one
-            for j in range(i - 1, max(-1, i - longest - 1), -1):
-                t = s[j:i]
-                if t not in tokens and j < i - 1:
-                    continue
-                if t not in grown:
-                    self._sides(t)
-                if grown[t] is None:
-                    continue
-                if j:
-                    a = s[last[j] : j]
-                    stays = pairs.get((a, t))
-                    if stays is None:
-                        stays = self._stays(a, t)
-                    if not stays:
-                        continue
-                last.append(j)
-                count.append(count[j] + 1)
-                break
+    def _move(self, state: tuple, symbol: str) -> tuple:
+        """The state after one more symbol, made if it is new."""
+        name = state[2] + symbol
+        while name not in self.prefixes and len(name) > 1:
+            name = name[1:]
+        to = self.states.get(name)
+        if to is None:
+            self._numbered(symbol)
+            tokens = [self.number[name[i:]] for i in range(len(name)) if name[i:] in self.number]
+            ends = [(self.sizes[t], t, self.neighbours.setdefault(t, {})) for t in tokens if self._sides(t) is not None]
+            to = self.states[name] = ({}, ends, name)
+        state[0][symbol] = to
+        self.n_moves += 1
+        return to
+
+    def trail(self, compact: bool = False) -> Trail:
+        """The trail of the empty string.  What is remembered is bounded here."""
+        if self.n_moves + self.n_pairs > self.memo:
+            self._forget()
+        return Trail(self.root, compact)
+
+    def extend(self, s: str, trail: Trail) -> None:
+        """Carry the trail of a prefix of s on to all of s."""
+        keep_state, last, stays = trail.states.append, trail.last, self._stays
+        keep_last, state, i = last.append, trail.states[-1], len(last) - 1
+        for symbol in s[i:] if i else s:
+            state = state[0].get(symbol) or self._move(state, symbol)
+            i += 1
+            # of the tokens that end here, the longest first, one is right
+            for size, t, known in state[1]:
+                if size == i:
+                    break
+                ok = known.get(last[i - size])
+                if stays(last[i - size], t) if ok is None else ok:
+                    break
             else:
                 raise ValueError(f"no encoding of {s[:i]!r}")
+            keep_state(state)
+            keep_last(t)
 
-    def states(self, s: str) -> tuple[list[int], list[int]]:
-        last, count = [0], [0]
-        self.extend(s, last, count)
-        return last, count
-
-    @staticmethod
-    def tokens_of(s: str, last: Sequence[int], end: int | None = None) -> list[str]:
-        """The encoding of s[:end], read backwards from its states."""
-        i, out = len(s) if end is None else end, []
+    def tokens_of(self, trail: Trail, end: int | None = None) -> list[int]:
+        """The tokens of a prefix, read backwards from its trail."""
+        last, sizes, out = trail.last, self.sizes, []
+        i = len(last) - 1 if end is None else end
         while i:
-            out.append(s[last[i] : i])
-            i = last[i]
-        return out[::-1]
+            t = last[i]
+            out.append(t)
+            i -= sizes[t]
+        out.reverse()
+        return out
+
+    def counts(self, trail: Trail) -> array:
+        """The number of tokens of every prefix."""
+        out, sizes = array("q", [0]), self.sizes
+        for i in range(1, len(trail.last)):
+            out.append(out[i - sizes[trail.last[i]]] + 1)
+        return out
+
+    def count(self, s: str) -> int:
+        """The number of tokens of s."""
+        trail = self.trail(compact=True)
+        self.extend(s, trail)
+        n, i, sizes = 0, len(s), self.sizes
+        while i:
+            i -= sizes[trail.last[i]]
+            n += 1
+        return n
 
 
-def walk_sorted(states: PrefixStates, words: Sequence[str]):
-    """(word, last, count) of sorted distinct words: a depth-first walk over their
-    trie, in which the states of a common prefix are computed once.  The lists
-    change with the next word."""
-    previous, last, count = "", [0], [0]
+def walk_sorted(states: PrefixStates, words: Sequence[str]) -> Iterator[tuple[str, Trail]]:
+    """(word, trail) of sorted distinct words: a depth-first walk over their trie,
+    in which the states of a common prefix are computed once.  The trail changes
+    with the next word."""
+    previous, trail = "", states.trail()
     for w in words:
-        shared = 0
-        for a, b in zip(previous, w):
-            if a != b:
-                break
-            shared += 1
-        del last[shared + 1 :], count[shared + 1 :]
-        states.extend(w, last, count)
+        if not w.startswith(previous):
+            shared = 0
+            for a, b in zip(previous, w):
+                if a != b:
+                    break
+                shared += 1
+            trail.cut(shared)
+        states.extend(w, trail)
         previous = w
-        yield w, last, count
+        yield w, trail

@@ -9,8 +9,10 @@ the counts of all prefixes, so truncations and budgets need no re-encoding.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -41,17 +43,17 @@ def byte_symbols() -> list[str]:
 
 
 class _Counts(dict):
-    """Number of tokens by piece, computed when first asked for."""
+    """Number of tokens by piece.  A short piece that is looked up for the first time
+    waits to be counted with others; a long one is counted at once and forgotten."""
 
     def __init__(self, counter: PrefixCounter):
-        self.counter = counter
+        self.counter, self.new = counter, []
 
     def __missing__(self, piece: str) -> int:
-        n = self.counter.states.states(self.counter.symbols(piece))[1][-1]
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = n
+        if len(piece) > REMEMBERED_LENGTH:
+            return self.counter.count_piece(piece)
+        self[piece] = n = -1 - len(self.new)
+        self.new.append(piece)
         return n
 
 
@@ -65,8 +67,8 @@ class PrefixCounter:
             raise ValueError("only byte-level BPE files without a normalizer")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.ranks = {m: i for i, m in enumerate(merges)}
-        self.states = PrefixStates(lambda a, b: self.ranks.get((a, b)), set(spec["model"]["vocab"]))
-        self.table = byte_symbols()
+        self.states = PrefixStates(lambda a, b: self.ranks.get((a, b)), spec["model"]["vocab"])
+        self.table = dict(enumerate(byte_symbols()))
         self.split = regex.compile(PATTERN).findall
         special = [regex.escape(t["content"]) for t in spec["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(special)) if special else None
@@ -74,33 +76,51 @@ class PrefixCounter:
         self.counts = _Counts(self)
 
     def symbols(self, piece: str) -> str:
-        return "".join([self.table[b] for b in piece.encode("utf-8")])
+        return piece.encode("utf-8").decode("latin-1").translate(self.table)
 
     def _segments(self, text: str) -> list[str]:
         if self.special is None or not any(m in text for m in self.special_marks):
             return [text]
         return self.special.split(text)
 
+    def count_piece(self, piece: str) -> int:
+        """Number of tokens of one piece of the pre-tokenizer."""
+        return self.states.count(self.symbols(piece))
+
+    def trail_counts(self, piece: str) -> Sequence[int]:
+        """Number of tokens of every prefix, by bytes, of one piece."""
+        trail = self.states.trail(compact=True)
+        self.states.extend(self.symbols(piece), trail)
+        return self.states.counts(trail)
+
     def count(self, text: str) -> int:
         """Number of tokens of the text."""
-        parts, get = self._segments(text), self.counts.__getitem__
-        return len(parts) - 1 + sum(sum(map(get, self.split(p))) for p in parts)
+        return self.count_all([text])[0]
 
     def count_all(self, texts: list[str]) -> list[int]:
-        """count() of several texts; their new pieces are counted in sorted order,
-        in which the states of common prefixes are shared."""
-        pieces = [[self.split(p) for p in self._segments(x)] for x in texts]
-        new = set()
-        for parts in pieces:
-            new.update(*parts)
-        new = [x for x in new - self.counts.keys() if len(x) <= REMEMBERED_LENGTH]
-        if len(self.counts) + len(new) > REMEMBERED:
+        """Number of tokens of several texts; their new pieces are counted in sorted
+        order, in which the states of common prefixes are shared."""
+        if len(self.counts) > REMEMBERED:
             self.counts.clear()
-        by_symbols = sorted((self.symbols(x), x) for x in new)
-        for (_, _, count), (_, piece) in zip(walk_sorted(self.states, [s for s, _ in by_symbols]), by_symbols):
-            self.counts[piece] = count[-1]
-        get = self.counts.__getitem__
-        return [len(parts) - 1 + sum(sum(map(get, p)) for p in parts) for parts in pieces]
+        get, numbers, first, special = self.counts.__getitem__, array("q"), [0], []
+        for x in texts:
+            segments = self._segments(x)
+            special.append(len(segments) - 1)
+            for segment in segments:
+                numbers.extend(map(get, self.split(segment)))
+            first.append(len(numbers))
+        new = self.counts.new
+        found = np.zeros(len(new), np.int64)
+        symbols = list(map(self.symbols, new))
+        order = sorted(range(len(new)), key=symbols.__getitem__)
+        for i, (_, trail) in zip(order, walk_sorted(self.states, [symbols[i] for i in order])):
+            found[i] = self.counts[new[i]] = len(self.states.tokens_of(trail))
+        new.clear()
+        n = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
+        if len(found):
+            n = np.where(n < 0, found[np.maximum(-1 - n, 0)], n)
+        ends = np.concatenate([[0], np.cumsum(n)])[first]
+        return (np.diff(ends) + special).tolist()
 
     def prefix_counts(self, text: str) -> list[int]:
         """counts[i] is the number of tokens of text[:i], for i = 0 .. len(text).
@@ -108,38 +128,41 @@ class PrefixCounter:
         Where cutting a piece changes how it is split (a blank that joins the
         white space before it, a contraction, a special token), the piece's
         prefix is split and counted by itself."""
-        out, done = [0], 0
+        return self._prefix_counts(text).tolist()
+
+    def _prefix_counts(self, text: str) -> array:
+        out, done, at = array("q", [0]), 0, 0
         special = [m.span() for m in self.special.finditer(text)] if self.special else []
-        at = 0
         for start, end in [*special, (len(text), len(text))]:
             previous, before_previous = "", done
             for piece in self.split(text[at:start]):
-                counts = self.states.states(self.symbols(piece))[1]
-                byte = 0
+                counts, byte = self.trail_counts(piece), 0
                 for n, char in enumerate(piece, 1):
                     byte += len(char.encode("utf-8"))
-                    part = piece[:n]
-                    if n == 1 and _BLANK(part) and previous and _BLANK(previous):
-                        out.append(before_previous + sum(map(self.counts.__getitem__, self.split(previous + part))))
-                    elif n < len(piece) and piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
-                        out.append(done + sum(map(self.counts.__getitem__, self.split(part))))
+                    if n == 1 and previous and _BLANK(char) and _BLANK(previous):
+                        out.append(before_previous + self._ordinary(previous + char))
+                    elif 1 < len(piece) > n and piece[0] == "'" and piece[1].isalpha():
+                        out.append(done + self._ordinary(piece[:n]))
                     else:
                         out.append(done + counts[byte])
                 previous, before_previous = piece, done
                 done += counts[-1]
             if end > start:
-                # inside a special token its characters are ordinary text after the segment
-                base = done - sum(map(self.counts.__getitem__, self.split(text[at:start])))
+                # inside a special token its characters are ordinary text, which can
+                # change the last piece before it only
                 for n in range(start + 1, end):
-                    out.append(base + sum(map(self.counts.__getitem__, self.split(text[at:n]))))
+                    out.append(before_previous + self._ordinary(previous + text[start:n]))
                 done += 1
                 out.append(done)
                 at = end
         return out
 
+    def _ordinary(self, text: str) -> int:
+        return sum(map(self.count_piece, self.split(text)))
+
     def truncate(self, text: str, limit: int) -> str:
         """The longest prefix of at most ``limit`` tokens."""
-        counts = self.prefix_counts(text)
+        counts = self._prefix_counts(text)
         return text[: max(i for i, n in enumerate(counts) if n <= limit)]
 
 

@@ -68,13 +68,18 @@ def perfect_hash(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = order[begin[k] : begin[k + 1]]
         if len(np.unique(number[keys])) < len(keys):  # no displacement parts equal numbers
             raise ValueError("digests do not differ enough for a perfect hash")
-        seed = 0
+        # the last buckets of a small shard must hit the last free slots, which can
+        # take about n^3 / 6 tries: many are made at a time
+        tried, block = 0, 16
         while True:
-            at = _displaced(number[keys], np.full(len(keys), seed), n)
-            if not taken[at].any() and len(np.unique(at)) == len(at):
+            at = _displaced(number[keys], np.arange(tried, tried + block)[:, None], n)
+            ranked = np.sort(at, axis=1)
+            fits = ~taken[at].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
+            if fits.any():
                 break
-            seed += 1
-        seeds[k], slots[keys], taken[at] = seed, at, True
+            tried, block = tried + block, min(4096, 4 * block)
+        hit = int(fits.argmax())
+        seeds[k], slots[keys], taken[at[hit]] = tried + hit, at[hit], True
     single = big[size[big] == 1]
     free = np.flatnonzero(~taken)[: len(single)]
     seeds[single] = -1 - free
@@ -188,12 +193,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def new_documents(docs: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same columns for ``docs`` that arrive after ``history`` (digest, winner,
-    copies: the result of grouped()).  A member is a repeat of the history and
-    never kept; nonmembers are grouped among themselves."""
+    copies: the result of grouped()).  A member is a repeat of the history, never
+    kept, and has the history's winner and number of copies; nonmembers are grouped
+    among themselves, as exact_dedup does.
+
+    A digest that the history has several times counts once, with the largest
+    winner and the sum of copies; rows of the history without a digest are not
+    read.  A null text counts as empty; a null doc_id is below all others; a
+    null winner makes a null keep_id.  Rows that repeat a doc_id get the same
+    answer.  Ties go to the largest id.  An empty history makes every row a
+    nonmember; an empty ``docs`` gives no rows.
+
+    Each distinct digest is looked up once, so a digest that a third of all rows
+    share is one row of a shard; answers to hot digests (at most HOT_SHARE) are
+    broadcast back to their rows.
+    """
+    spark = docs.sparkSession
     rows = cut(digests(docs, id_col, text_col))
-    shards = by_key(SHARD_ROWS, docs.sparkSession, rows.count())
-    found = cut(lookup(rows, build_index(history, shards), shards))
-    fresh = found.where("not member").select("doc_id", "digest")
-    own = fresh.join(grouped(fresh), "digest").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("winner")).alias("kept"))
-    old = found.where("member").select("doc_id", "digest", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(False).alias("kept"))
-    return own.unionByName(old).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    n = rows.count()
+    own = cut(grouped(rows))
+    once = history.where("digest is not null").groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("copies").cast("long").alias("copies"))
+    shards = by_key(SHARD_ROWS, spark, max(n, once.count()))
+    found = lookup(own.select(F.col("winner").alias("doc_id"), "digest"), build_index(once, shards), shards)
+    found = found.select("digest", "member", F.col("winner").alias("old"), F.col("copies").alias("old_copies"))
+    keep, size = F.when(F.col("member"), F.col("old")).otherwise(F.col("winner")), F.when(F.col("member"), F.col("old_copies")).otherwise(F.col("copies"))
+    answers = cut(own.join(found, "digest").select("digest", keep.alias("keep_id"), size.alias("group_size"), "member", (F.col("copies") > max(1000, n // HOT_SHARE)).alias("hot")))
+    hot = F.broadcast(answers.where("hot"))  # copies add up to n, so these are HOT_SHARE rows at most
+    others = rows.join(hot.select("digest"), "digest", "left_anti").join(answers.where("not hot"), "digest")
+    out = rows.join(hot, "digest").unionByName(others)
+    kept = ~F.col("member") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

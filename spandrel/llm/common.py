@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Bytes of text that vectorised kernels handle at a time.
 BLOCK_BYTES = 1 << 19
 
@@ -23,15 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session;
-    a temporary folder of this machine only where that is unset (tests)."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spandrel-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The folder all executors share (spandrel.session)."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -145,12 +139,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of byte codes times powers of the place in the word, unmixed."""
     up, down = _BYTE_POWERS.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts])
+    return (total[ends] - total[starts]) * down[starts]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 2 * BLOCK_BYTES) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.  The
+    words of about ``size`` bytes are hashed at a time, a longer one in parts."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + size, "right"))
+        if j > i:
+            out[i:j] = _range_hashes(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo)
+        else:
+            j, total = i + 1, 0
+            for at in range(lo, int(ends[i]), size):
+                part = data[at : min(at + size, int(ends[i]))]
+                one = _range_hashes(part, np.zeros(1, np.int64), np.array([len(part)]))
+                total += int(one[0]) * pow(_BYTE_POWERS.base, at - lo, 1 << 64)
+            out[i] = total % (1 << 64)
+        i = j
+    return mixed(out)
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -3,14 +3,16 @@
 A document is the average of the embeddings of its runs of three and four
 bytes and of its words.  Embeddings and the softmax layer are trained together
 by stochastic gradient descent in numpy.  For scoring, embedding times layer is
-one small table, so a document's logits are averages of table rows.
+one small table if there are no more languages than dimensions, so a document's
+logits are averages of table rows; with more languages the averaged embedding is
+multiplied by the layer.  There is no limit to the number of languages.
 
 Scores are calibrated by a temperature on documents that training has not
 used; below a threshold fitted there a prediction is not ``accepted``.
 
-At scale: training reads a bounded sample (TRAIN_LIMIT a language, counted by
-language map-side); the table travels with the tasks; scoring is one pass
-without a shuffle.
+At scale: training reads a bounded sample (TRAIN_LIMIT a language and TRAIN_MOST
+in all, long texts only where there is no other, counted by language map-side);
+the table travels with the tasks; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_columns
-from .linear import BITS, documents, features, means, sample
+from .linear import BITS, documents, features, means, sample, trainable
 
 #: Documents used for training, at most, for each language.
 TRAIN_LIMIT = 400
-#: Languages learnt at most, the bound of the model; training refuses more.
-MAX_LANGUAGES = 256
+#: Documents used for training in all; with many languages each has fewer, one at least.
+TRAIN_MOST = 25_600
 #: Share of the calibration documents that rejection may lose.
 REJECT_SHARE = 0.01
 DIMENSIONS = 16
@@ -41,16 +43,21 @@ _LETTER = regex.compile(r"\p{L}").search
 
 @dataclass
 class LanguageModel:
-    """Logits by bucket and language, the temperature and the least accepted score."""
+    """Logits by bucket and language (or, with a layer, the embedding by bucket), the
+    temperature and the least accepted score."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
+    layer: np.ndarray | None = None
     temperature: float = 1.0
     least: float = 0.0
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return means(self.table, features(data, offsets, GRAMS, True)) + self.bias
+        return self.finished(means(self.table, features(data, offsets, GRAMS, True)))
+
+    def finished(self, averaged: np.ndarray) -> np.ndarray:
+        return (averaged if self.layer is None else averaged @ self.layer) + self.bias
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
         return softmax(logits / self.temperature)
@@ -90,9 +97,12 @@ def fit(texts: list[str], y: np.ndarray, held: np.ndarray, languages: list[str],
             layer -= eta * np.outer(hidden, g)
             bias -= 0.1 * eta * g
             embedding[b] -= eta * v[:, None] * back[None, :]
-    model = LanguageModel(languages, (embedding @ layer).astype(np.float32), bias)
+    if len(languages) <= DIMENSIONS:
+        model = LanguageModel(languages, (embedding @ layer).astype(np.float32), bias)
+    else:
+        model = LanguageModel(languages, embedding.astype(np.float32), bias, layer)
     check = np.flatnonzero(held) if held.any() else train
-    z = np.array([per_doc[i][1] @ model.table[per_doc[i][0]] + bias for i in check])
+    z = np.array([model.finished(per_doc[i][1] @ model.table[per_doc[i][0]]) for i in check])
     if len(z):
         options = np.geomspace(0.1, 10, 60)
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(z)), y[check]], 1e-12)).mean() for t in options]
@@ -109,16 +119,16 @@ def remainder(id_col: str):
 def train(docs: DataFrame, limit: int = TRAIN_LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from documents whose crc32(id) mod 3 is not 1 and whose language and
     text are known: at most about ``limit`` a language, chosen by a hash of the id
-    whose range is fitted to the language's number of documents.  More than
-    MAX_LANGUAGES languages raise a ValueError."""
+    whose range is fitted to the language's number of documents."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where((F.coalesce(remainder("doc_id"), F.lit(0)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = sample(known, "doc_id", "lang", limit, MAX_LANGUAGES).withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(4)))
+    chosen = trainable(sample(known, "doc_id", "lang", limit, TRAIN_MOST), "doc_id", "lang", "text").withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(4)))
     got = chosen.orderBy("doc_id", "lang", "text").toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
     if not languages:
         return LanguageModel([], np.zeros(((len(GRAMS) + 1) << BITS, 1), np.float32), np.zeros(1))
-    y = np.array([languages.index(x) for x in got.column("lang").to_pylist()], np.int64)
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64)
     return fit(got.column("text").to_pylist(), y, got.column("part").to_numpy() == 0, languages)
 
 
@@ -143,8 +153,8 @@ def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
             if not best:
                 continue
             best, score = np.concatenate(best), np.concatenate(score)
-            for i, text in enumerate(batch.column("text")):
-                if not model.languages or not text.is_valid or not _LETTER(text.as_py()):
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if not model.languages or text is None or not _LETTER(text):
                     best[i], score[i] = len(names) - 1, 0.0
             accepted = (score >= model.least) & (best < len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])

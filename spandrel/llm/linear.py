@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, utf8, word_hashes, words
 
+#: Longer texts, in bytes, are trained on only where a label has no other, and few of them.
+LONG_TEXT, LONG_LIMIT = 1 << 16, 4
 #: Buckets are numbered with so many bits, for bytes and for words alike.
 BITS = 16
 _SEEDS = {2: 0x9E3779B1, 3: 0x85EBCA6B, 4: 0xC2B2AE35, 5: 0x27D4EB2F}
@@ -47,30 +49,46 @@ def features(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...], with
     return out
 
 
-def means(table: np.ndarray, parts) -> np.ndarray:
-    """Sum over feature kinds of the mean of their table rows, by document."""
+def means(table: np.ndarray, parts, step: int = 1 << 17) -> np.ndarray:
+    """Sum over feature kinds of the mean of their table rows, by document.  Rows are
+    summed ``step`` at a time, so memory follows neither a text's length nor, but
+    for one block, the width of the table."""
     total = None
     for buckets, starts, ends in parts:
-        sums = np.zeros((len(buckets) + 1, *table.shape[1:]), np.float64)
-        np.cumsum(table[buckets], axis=0, out=sums[1:])
-        counts = np.maximum(ends - starts, 1).reshape(-1, *[1] * (table.ndim - 1))
-        one = (sums[ends] - sums[starts]) / counts
+        sums = np.zeros((len(starts), *table.shape[1:]), np.float64)
+        for lo in range(0, len(buckets), step):
+            hi = min(lo + step, len(buckets))
+            a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi, "left"))
+            upto = np.zeros((hi - lo + 1, *table.shape[1:]), np.float64)
+            np.cumsum(table[buckets[lo:hi]], axis=0, out=upto[1:])
+            sums[a:b] += upto[np.clip(ends[a:b], lo, hi) - lo] - upto[np.clip(starts[a:b], lo, hi) - lo]
+        one = sums / np.maximum(ends - starts, 1).reshape(-1, *[1] * (table.ndim - 1))
         total = one if total is None else total + one
     return total
 
 
-def sample(labelled: DataFrame, id_col: str, label_col: str, limit: int, most: int = 256) -> DataFrame:
-    """About ``limit`` rows a label at most, chosen by a hash of the id whose range is
-    fitted to the label's number of rows; the same on every run.  More than ``most``
-    labels are refused: the sample and the model grow with their number."""
-    counts = labelled.groupBy(label_col).count().limit(most + 1).collect()
-    if len(counts) > most:
-        raise ValueError(f"more than {most} values of {label_col}; none may be left out")
+def sample(labelled: DataFrame, id_col: str, label_col: str, limit: int, most: int) -> DataFrame:
+    """Rows to train on: about ``limit`` a label, and ``most`` in all, chosen by a hash
+    of the id whose range is fitted to the label's number of rows; the same on
+    every run.  Every label has its share."""
+    counts = labelled.groupBy(label_col).count().collect()  # one row a label, fewer than the model has
     if not counts:
         return labelled.where(F.lit(False))
+    each = max(1, min(limit, most // len(counts)))
+    kind = labelled.schema[label_col].dataType.simpleString()
+    shares = labelled.sparkSession.createDataFrame([(r[label_col], min(1.0, each / r["count"])) for r in counts], f"_label {kind}, _share double")
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label_col], min(1.0, limit / r["count"]))])
-    return labelled.where(u < F.try_element_at(share, F.col(label_col)))
+    return labelled.join(shares, F.col(label_col) == F.col("_label")).where(u < F.col("_share")).drop("_label", "_share")
+
+
+def trainable(rows: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
+    """The rows of a sample without texts of more than LONG_TEXT bytes; a label that
+    has no other keeps LONG_LIMIT of them.  So what goes to the driver is bounded in
+    bytes.  The windows run over the sample only."""
+    short = F.octet_length(text_col) <= LONG_TEXT
+    out = rows.withColumn("_any", F.max(short).over(Window.partitionBy(label_col)))
+    out = out.withColumn("_nth", F.row_number().over(Window.partitionBy(label_col).orderBy(id_col, text_col)))
+    return out.where(short | (~F.col("_any") & (F.col("_nth") <= LONG_LIMIT))).drop("_any", "_nth")
 
 
 def documents(texts: pa.ChunkedArray, size: int = 1 << 18):

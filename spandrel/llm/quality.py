@@ -4,9 +4,10 @@ The model sees words and runs of four bytes, hashed into buckets.  It is
 trained on a bounded sample of labelled documents, calibrated on a part of the
 sample it has not seen, and applied in Arrow batches with fixed thresholds.
 
-At scale: training reads the labels and at most TRAIN_LIMIT documents a label;
-its tables (a few hundred KB) travel with the tasks.  Scoring is one pass
-without a shuffle.
+At scale: training reads the labels and about TRAIN_LIMIT documents a label at
+most, long ones only where there is no other; its tables (a few hundred KB)
+travel with the tasks.  Scoring is one pass without a shuffle, in memory that
+follows the longest text, several times its size.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, per_document, text_columns, window_hashes, within, word_hashes, words
-from .linear import BITS, documents, features, means, platt, sample, sigmoid
+from .common import SPACE_BYTES, mixed, per_document, text_columns, window_hashes, within, word_hashes, words
+from .linear import BITS, documents, features, means, platt, sample, sigmoid, trainable
 
 #: Labelled documents used for training, at most, for each label.
 TRAIN_LIMIT = 1500
@@ -90,30 +91,37 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMIT, id_col:
     a hash of the id.  Labels other than 0 and 1, null ids and null texts are not
     used; of several labels of a document the smallest counts."""
     clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"))
-    chosen = sample(clean, "doc_id", "y", limit)  # about 2 * limit rows at most
+    chosen = sample(clean, "doc_id", "y", limit, 2 * limit)  # about 2 * limit rows at most
     rows = text_columns(docs, id_col, text_col).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(4)).alias("part")).orderBy("doc_id").toArrow()
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(4)).alias("part"))
+    got = trainable(once, "doc_id", "y", "text").orderBy("doc_id").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)
     return fit(got.column("text").to_pylist(), y, got.column("part").to_numpy() == 0)
 
 
-_NOT_CONTINUATION = np.ones(256, np.int64)
-_NOT_CONTINUATION[0x80:0xC0] = 0
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[list(SYMBOLS)] = 1
+#: Bytes that begin a code point of a word, and symbols.
+_BEGINS = np.ones(256, bool)
+_BEGINS[0x80:0xC0] = False
+_BEGINS[list(SPACE_BYTES)] = False
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(SYMBOLS)] = True
 _LINE_SPACE = b" \t\r\x0b\x0c"
 
 
+def _counted(marked: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of marked bytes by document."""
+    hits = marked[data]
+    return np.array([np.count_nonzero(hits[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+
+
 def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words by document."""
     n_docs = len(offsets) - 1
     starts, ends, first = words(data, offsets)
-    begins = np.concatenate([[0], np.cumsum(_NOT_CONTINUATION[data])])
-    word_chars = per_document(begins[ends] - begins[starts], first)
     repeated = np.zeros(len(starts) + 1, np.int64)
     windows = window_hashes(word_hashes(data, starts, ends), 3) if len(starts) else np.zeros(0, np.uint64)
     if len(windows):
-        doc = np.searchsorted(first, np.arange(len(windows)), "right") - 1
+        doc = np.repeat(np.arange(n_docs), np.diff(first))[: len(windows)]
         keyed = windows ^ mixed(doc.astype(np.uint64) + np.uint64(1))
         at = np.flatnonzero(within(first, 3))
         _, group, count = np.unique(keyed[at], return_inverse=True, return_counts=True)
@@ -128,7 +136,7 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
         lines = [x for x in raw[offsets[i] : offsets[i + 1]].split(b"\n") if x.strip(_LINE_SPACE)]
         dup[i] = len(lines) - len(set(lines))
     return {
-        "n_words": np.diff(first), "word_chars": word_chars, "n_symbols": per_document(_SYMBOL[data], offsets),
+        "n_words": np.diff(first), "word_chars": _counted(_BEGINS, data, offsets), "n_symbols": _counted(_SYMBOL, data, offsets),
         "n_dup_lines": dup, "n_repeat_words": per_document(repeated[:-1], first),
     }
 

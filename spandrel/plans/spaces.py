@@ -5,8 +5,10 @@ that applies operators and takes dot products.
 
 FrameSpace: vectors are column expressions over one frame of indices, so sums
 and scalings cost nothing; applying a matrix is one join and one sum; dot
-products of a step are fused into one aggregate.  settle() writes the vectors
-that go on to the shared folder.  For systems of any size.
+products of a step are fused into one aggregate.  The matrix is written once, in
+buckets by column, so a product moves the vector and partial sums, never the
+matrix.  settle() writes the vectors that go on to the shared folder and deletes
+the table they supersede.  For systems of any size.
 
 LocalSpace: numpy in one task, for many small systems at once (one group a
 system) and for coarse levels.
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spmat import spmv
-from ..session import written
+from ..session import bucketed, removed, written_at
 
 
 class FrameVector:
@@ -47,8 +49,8 @@ class FrameSpace:
     """Vectors over the index domain (idx) as columns of one frame."""
 
     def __init__(self, a: DataFrame, domain: DataFrame):
-        self.a = a
-        self.frame = written(domain.select("idx"))
+        self.a = bucketed(a.select("row", "col", "val"), "col")
+        self._table, self.frame = written_at(domain.select("idx"))
         self._n = 0
         self._given: list[str] = []
         self._cached: list[DataFrame] = []
@@ -90,10 +92,12 @@ class FrameSpace:
     def settle(self, *vectors: FrameVector) -> list[FrameVector]:
         """The vectors as columns of a new, materialised frame, beside the given ones."""
         names = [self._fresh() for _ in vectors]
-        self.frame = written(self.frame.select("idx", *self._given, *[v.column.alias(n) for v, n in zip(vectors, names)]))
+        superseded = self._table
+        self._table, self.frame = written_at(self.frame.select("idx", *self._given, *[v.column.alias(n) for v, n in zip(vectors, names)]))
         for df in self._cached:
             df.unpersist()
         self._cached.clear()
+        removed(self.frame.sparkSession, superseded)
         return [FrameVector(self, F.col(n)) for n in names]
 
 

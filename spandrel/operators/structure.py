@@ -103,10 +103,13 @@ def reordered(a: DataFrame, pi: DataFrame, b: DataFrame | None = None):
     return pap, None if b is None else permuted_vector(b, pi), inverse(pi)
 
 
-def ordered_by(keys: DataFrame, key: str = "color") -> DataFrame:
-    """The permutation that sorts indices by (key, idx), of (idx, key) rows; prefix
-    sums over key sizes, so no global sort."""
-    sizes = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(key, F.coalesce(F.sum("_n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("idx")) - 1
-    return keys.withColumn("_r", rank).join(before, key).select((F.col("_s") + F.col("_r")).cast("long").alias("new"), F.col("idx").alias("old"))
+def ordered_by(keys: DataFrame, key: str = "color", size: int = 1 << 16) -> DataFrame:
+    """The permutation that sorts indices by (key, idx), of (idx, key) rows.  Indices
+    are numbered within runs of ``size`` of a key and shifted by the runs' sizes;
+    the only global window runs over one row a run."""
+    runs = keys.withColumn("_run", F.floor(F.col("idx") / size))
+    sizes = runs.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(key, "_run").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(key, "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy(key, "_run").orderBy("idx")) - 1
+    return runs.withColumn("_r", rank).join(shifts, [key, "_run"]).select((F.col("_s") + F.col("_r")).cast("long").alias("new"), F.col("idx").alias("old"))

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import positioned
+from ..session import placed_lines, positioned, ranked
 
 FIELDS = ("Problem", "Method", "Prec", "M2", "M3", "M4", "W", "Precond", "ACC", "Time", "Iter", "ImplRes", "ExplRes")
 _LONGS, _TEXTS = {"M2", "M3", "M4", "Iter"}, {"Problem", "Method", "Prec", "Precond"}
 TOLERANCE = 1e-8
+#: Log lines that are numbered together.
+LOG_RUN = 1 << 16
 #: Names of the halved precision in the two result files, and the name reports use.
 BEST = ("_Float16", "__half")
 #: Parameter sweeps over (m2, m3, m4): one of them varies.
@@ -33,7 +35,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result files with a header; line is the row's place in its file."""
     raw = spark.read.schema(", ".join(f"{c} string" for c in FIELDS)).option("header", True).csv(path)
     typed = [F.trim(F.col(c)).alias(c) if c in _TEXTS else F.col(c).try_cast("long").alias(c) if c in _LONGS else parsed_number(F.col(c)).alias(c) for c in FIELDS]
-    return positioned(raw.select(*typed), "line")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return positioned(raw.select(*typed, *place), "line")
 
 
 def write_results(df: DataFrame, path: str) -> None:
@@ -89,9 +92,8 @@ def stable_by_problem(df: DataFrame) -> DataFrame:
 
 
 def systematic(df: DataFrame, step: int, key: str = "line") -> DataFrame:
-    """Every step-th row by key, counted from the first."""
-    rank = F.row_number().over(Window.orderBy(key)) - 1
-    return df.withColumn("_r", rank).where(F.col("_r") % step == 0).drop("_r")
+    """Every step-th row by a whole-number key, counted from the first."""
+    return ranked(df, key, "_r").where(F.col("_r") % step == 0).drop("_r")
 
 
 def labelled(df: DataFrame, names: dict[str, str], column: str = "Tag") -> DataFrame:
@@ -109,9 +111,16 @@ def parsed_log(lines: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     head = F.lit(False)
     for p in prefixes:
         head = head | F.col("value").startswith(p)
-    by = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("head", head).withColumn("run", F.sum(F.col("head").cast("int")).over(by))
-    rows = rows.withColumn("problem", F.last(F.when(F.col("head"), F.split("value", ",")[0]), ignorenulls=True).over(by)).where("run > 0")
+    # runs of lines: heads are counted within a run and over the runs before it, so the
+    # only global window is over one row a run
+    own = F.when(F.col("head"), F.split("value", ",")[0])
+    rows = lines.withColumn("head", head).withColumn("part", F.floor(F.col("line") / LOG_RUN)).withColumn("own", own)
+    parts = rows.groupBy("part").agg(F.count("own").alias("n"), F.max_by("own", F.when(F.col("head"), F.col("line"))).alias("final"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.last("final", ignorenulls=True).over(before).alias("carried"))
+    by = Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.count("own").over(by)).withColumn("latest", F.last("own", ignorenulls=True).over(by)).join(parts, "part")
+    rows = rows.withColumn("run", F.col("earlier") + F.col("inside")).withColumn("problem", F.coalesce("latest", "carried")).where("run > 0")
     f = F.split(F.trim("value"), r"\s+")
     steps = rows.where(~F.col("head")).select("problem", "run", f[0].try_cast("int").alias("step"), parsed_number(F.try_element_at(f, F.lit(2))).alias("relres")).where("step > 0")
     first = rows.where("head").select("problem", "run", F.lit(0).alias("step"), F.lit(1.0).alias("relres"))
@@ -119,7 +128,7 @@ def parsed_log(lines: DataFrame, prefixes: Sequence[str]) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, prefixes: Sequence[str]) -> DataFrame:
-    return parsed_log(positioned(spark.read.text(path), "line"), prefixes)
+    return parsed_log(positioned(placed_lines(spark, path), "line"), prefixes)
 
 
 def log_axis(runs: DataFrame, calls: int = 64) -> DataFrame:
@@ -143,3 +152,58 @@ def parameter_sweep(spark: SparkSession, problems: Sequence[str], programs: Sequ
     cell = F.array(*[F.struct(F.lit(a).alias("m2"), F.lit(b).alias("m3"), F.lit(c).alias("m4")) for a, b, c in grid])
     rows = spark.createDataFrame([(x,) for x in problems], "problem string").select("problem", F.explode(F.array(*[F.lit(x) for x in programs])).alias("program"))
     return rows.select("problem", "program", F.explode(cell).alias("g")).select("problem", "program", "g.*")
+
+
+def text_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(line) of a fixed-width table, columns right-aligned to their longest value or
+    name; a null is written as NaN.  The heading is a row of its own: text_heading."""
+    widths = _widths(df, columns)
+    cells = [F.lpad(_shown(c), widths[c], " ") for c in columns]
+    return df.select(F.concat_ws(" ", *cells).alias("line"))
+
+
+def text_heading(df: DataFrame, columns: Sequence[str]) -> str:
+    widths = _widths(df, columns)
+    return " ".join(c.rjust(widths[c]) for c in columns)
+
+
+def _shown(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("NaN"))
+
+
+def _widths(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    row = df.agg(*[F.max(F.length(_shown(c))).alias(c) for c in columns]).first()
+    return {c: max(len(c), row[c] or 0) for c in columns}
+
+
+#: Problem, diagonal factor and best (m2, m3, m4), by platform and symmetry.
+CATALOGUE = {
+    ("cpu", True): """
+        audikw_1 1.1 7 4 2, Bump_2911 1.1 8 5 2, ecology2 1.0 8 5 2, Emilia_923 1.0 8 5 2, G3_circuit 1.0 9 4 2,
+        hpcg_7_7_7 1.0 9 4 2, hpcg_8_7_7 1.0 6 4 2, hpcg_8_8_7 1.0 7 4 2, hpcg_8_8_8 1.0 6 4 2, ldoor 1.1 8 5 2,
+        Queen_4147 1.1 8 4 2, Serena 1.1 8 6 2, thermal2 1.0 9 4 2, tmt_sym 1.0 8 6 2""",
+    ("cpu", False): """
+        atmosmodd 1.0 8 6 2, atmosmodj 1.0 9 4 2, atmosmodl 1.0 8 3 2, hpgmp_7_7_7 1.0 8 4 1, hpgmp_8_7_7 1.0 8 4 1,
+        hpgmp_8_8_7 1.0 8 4 1, hpgmp_8_8_8 1.0 6 4 2, ss 1.1 8 4 2, stokes 1.0 8 4 1, t2em 1.0 6 4 2,
+        tmt_unsym 1.0 10 4 2, Transport 1.0 8 3 2, vas_stokes_1M 1.0 8 4 1, vas_stokes_2M 1.0 8 4 1""",
+    ("gpu", True): """
+        apache2 1.0 8 4 2, audikw_1 1.6 8 6 2, Bump_2911 1.2 8 6 2, ecology2 1.0 8 5 2, Emilia_923 1.2 8 5 2,
+        G3_circuit 1.0 9 4 2, hpcg_7_7_7 1.0 8 6 2, hpcg_8_7_7 1.0 8 3 2, hpcg_8_8_7 1.0 6 4 2, hpcg_8_8_8 1.0 6 4 2,
+        ldoor 1.3 8 6 2, Queen_4147 1.3 10 4 2, Serena 1.2 7 4 2, thermal2 1.0 10 4 2, tmt_sym 1.0 8 6 2""",
+    ("gpu", False): """
+        atmosmodd 1.0 8 2 2, atmosmodj 1.0 8 2 2, atmosmodl 1.0 8 6 2, Freescale1 1.1 9 4 2, hpgmp_7_7_7 1.0 8 2 2,
+        hpgmp_8_7_7 1.0 6 4 2, hpgmp_8_8_7 1.0 8 2 2, hpgmp_8_8_8 1.0 6 4 2, ss 1.2 8 6 2, stokes 1.3 8 4 1,
+        t2em 1.0 9 4 2, tmt_unsym 1.0 8 5 2, Transport 1.0 9 4 2, vas_stokes_1M 1.3 8 4 1, vas_stokes_2M 1.3 8 4 1,
+        rajat31 1.0 8 4 1""",
+}
+
+
+def problem_catalogue(spark: SparkSession) -> DataFrame:
+    """(platform, symmetric, place, problem, acc, m2, m3, m4): the problems that the
+    experiments run over, in their order."""
+    rows = []
+    for (platform, symmetric), text in CATALOGUE.items():
+        for place, cell in enumerate(text.split(",")):
+            name, acc, *best = cell.split()
+            rows.append((platform, symmetric, place, name, float(acc), *map(int, best)))
+    return spark.createDataFrame(rows, "platform string, symmetric boolean, place int, problem string, acc double, m2 int, m3 int, m4 int")

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
 
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: divided(a, b),
@@ -62,10 +60,22 @@ def cast(v: DataFrame, kind: str) -> DataFrame:
     return v.withColumn("val", half(F.col("val")) if kind == "half" else F.col("val").cast(kind))
 
 
-@F.pandas_udf(FloatType())
-def half(x: pd.Series) -> pd.Series:
-    """Values rounded to IEEE half precision."""
-    return x.astype("float16").astype("float32")
+def half(x: Column) -> Column:
+    """Values rounded to IEEE half precision (nearest, ties to even; subnormal numbers
+    and overflow to infinity included), as floats."""
+    v, a = x.cast("double"), F.abs(x.cast("double"))
+    e = F.floor(F.log2(F.when((a > 0) & (a < float("inf")), a).otherwise(1.0)))
+    # the logarithm may miss a power of two by one
+    e = e + F.when(a >= F.pow(F.lit(2.0), e + 1), 1).when(a < F.pow(F.lit(2.0), e), -1).otherwise(0)
+    step = F.pow(F.lit(2.0), F.greatest(e, F.lit(-14)) - 10)
+    near = F.rint(a / step) * step
+    size = F.when(F.isnan(a) | (a == float("inf")), a).when(near > 65504, float("inf")).otherwise(near)
+    return F.when(v < 0, -size).otherwise(size).cast("float")
+
+
+def cast_array(values: Column, kind: str) -> Column:
+    """Precision change of an array of numbers, as cast() has it."""
+    return F.transform(values, lambda v: half(v) if kind == "half" else v.cast(kind))
 
 
 def half_mapped(v: DataFrame, f: str) -> DataFrame:

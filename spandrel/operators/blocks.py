@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,20 @@ def solve_ilu(factor: DataFrame, b: DataFrame) -> DataFrame:
     return _solved(factor, b, lambda rows, v: K.solve_upper(rows, K.solve_lower(rows, v)))
 
 
+def solve_tiles(tiles: DataFrame, b: DataFrame, height: int, width: int, lower: bool = True, unit: bool = False) -> DataFrame:
+    """L^-1 b (or U^-1 b) of dense tiles (block, brow, bcol, vals) and (block, idx, val),
+    block by block; a block's indices are a run, and tiles across two blocks'
+    rows do not occur."""
+
+    def run(t: pa.Table, rhs: pa.Table) -> pa.Table:
+        cells = {(i, j): np.array(v).reshape(width, height).T for i, j, v in zip(*(t.column(c).to_pylist() for c in ("brow", "bcol", "vals")))}
+        x = K.solve_tiles(cells, dict(zip(rhs.column("idx").to_pylist(), rhs.column("val").to_pylist())), height, width, lower, unit)
+        return pa.table({"idx": pa.array(list(x), pa.int64()), "val": pa.array(list(x.values()), pa.float64())})
+
+    left = tiles.select("block", "brow", "bcol", "vals").groupBy("block")
+    return left.cogroup(b.select("block", "idx", "val").groupBy("block")).applyInArrow(run, "idx long, val double")
+
+
 def approximate_inverse(a: DataFrame, tol: float = 0.1, acc: float = 1.0, follow_fill: bool = False) -> DataFrame:
     """(factor, row, col, val) of blocks: factor 'z' is Z D^-1 with vectors as columns,
     'w' is W' with vectors as rows, so the inverse is about z w."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vec import cast_array
+
 
 def csr(a: DataFrame) -> DataFrame:
     """(row, entries): each row's entries sorted by column; repeats stay."""
@@ -43,10 +45,10 @@ def bcsr(a: DataFrame, height: int, width: int) -> DataFrame:
     """(brow, bcol, vals): dense tiles, column by column within a tile; entries that
     repeat are added up."""
     cell = F.expr(f"cast((col % {width}) * {height} + row % {height} as int)")
-    cells = a.groupBy(F.expr(f"row div {height}").alias("brow"), F.expr(f"col div {width}").alias("bcol"), cell.alias("c")).agg(F.sum("val").alias("val"))
-    tiles = cells.groupBy("brow", "bcol").agg(F.map_from_entries(F.collect_list(F.struct("c", "val"))).alias("m"))
-    vals = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return tiles.select("brow", "bcol", vals.alias("vals"))
+    cells = a.select(F.expr(f"row div {height}").alias("brow"), F.expr(f"col div {width}").alias("bcol"), F.struct(cell.alias("c"), "val").alias("e"))
+    tiles = cells.groupBy("brow", "bcol").agg(F.collect_list("e").alias("m"))
+    at = lambda i: F.aggregate(F.filter("m", lambda e: e["c"] == i), F.lit(0.0), lambda s, e: s + e["val"])
+    return tiles.select("brow", "bcol", F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), at).alias("vals"))
 
 
 def from_bcsr(tiles: DataFrame, height: int, width: int) -> DataFrame:
@@ -64,23 +66,36 @@ def spmv_bcsr(tiles: DataFrame, x: DataFrame, height: int, width: int) -> DataFr
     return parts.groupBy((F.col("brow") * height + F.col("r")).alias("idx")).agg(F.sum("v").alias("val"))
 
 
+def residual_bcsr(tiles: DataFrame, x: DataFrame, b: DataFrame, height: int, width: int) -> DataFrame:
+    """b - A x over the index of b."""
+    return _residual(spmv_bcsr(tiles, x, height, width), b)
+
+
+def cast_tiles(tiles: DataFrame, kind: str) -> DataFrame:
+    """Precision change of tiles; slices have a val column and take vec.cast."""
+    return tiles.withColumn("vals", cast_array(F.col("vals"), kind))
+
+
+def _residual(ax: DataFrame, b: DataFrame) -> DataFrame:
+    return b.join(ax.withColumnRenamed("val", "_ax"), "idx", "left").select("idx", (F.col("val") - F.coalesce("_ax", F.lit(0.0))).alias("val"))
+
+
 def sell(a: DataFrame, width: int = 32, right: bool = False, order: DataFrame | None = None) -> DataFrame:
     """(slice, lane, pos, row, col, val): slices of ``width`` rows, every row padded
     with zeros to the longest of its slice.  Padding repeats the neighbour's
-    column, or column 0 in empty rows' place.  order (row, place) puts rows in
-    another order first."""
-    placed = a.withColumn("place", F.col("row")) if order is None else a.join(order, "row")
-    ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("col", "val")) - 1)
-    rows = ranked.groupBy("row", "place").agg(F.count(F.lit(1)).alias("len"))
+    column.  order (row, place) puts rows in another order first.
+
+    A row is gathered once into a sorted array and padded there; only arrays are
+    shuffled by slice."""
+    placed = a.select("row", "col", "val", F.col("row").alias("place")) if order is None else a.select("row", "col", "val").join(order, "row")
+    rows = placed.groupBy("row", "place").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
     rows = rows.withColumn("slice", F.expr(f"place div {width}"))
-    rows = rows.withColumn("most", F.max("len").over(Window.partitionBy("slice")))
-    shift = F.col("most") - F.col("len") if right else F.lit(0)
-    slots = rows.select("row", "place", "slice", "len", shift.alias("shift"), F.explode(F.expr("sequence(0, most - 1)")).alias("pos"))
-    slots = slots.withColumn("k", F.col("pos") - F.col("shift"))
-    full = slots.join(ranked.select("row", "k", "col", "val"), ["row", "k"], "left")
-    by = Window.partitionBy("row").orderBy(F.col("pos").desc() if right else F.col("pos"))
-    col = F.coalesce(F.last("col", ignorenulls=True).over(by), F.lit(0))
-    return full.select("slice", F.expr(f"place % {width}").alias("lane"), F.col("pos").cast("long").alias("pos"), "row", col.alias("col"), F.coalesce("val", F.lit(0.0)).alias("val"))
+    missing = F.max(F.size("e")).over(Window.partitionBy("slice")) - F.size("e")
+    edge = F.element_at("e", 1 if right else -1)
+    padding = F.array_repeat(F.struct(edge["col"].alias("col"), F.lit(0.0).alias("val")), missing)
+    full = F.concat(padding, F.col("e")) if right else F.concat(F.col("e"), padding)
+    cells = rows.withColumn("full", full).select("slice", F.expr(f"place % {width}").alias("lane"), "row", F.posexplode("full").alias("pos", "c"))
+    return cells.select("slice", "lane", F.col("pos").cast("long").alias("pos"), "row", "c.col", "c.val")
 
 
 def sigma_order(a: DataFrame, sigma: int) -> DataFrame:
@@ -99,3 +114,8 @@ def spmv_sell(s: DataFrame, x: DataFrame) -> DataFrame:
     """A x of slices; ``row`` names where each lane's result belongs."""
     v = x.select(F.col("idx").alias("col"), F.col("val").alias("_x"))
     return s.join(v, "col").groupBy(F.col("row").alias("idx")).agg(F.sum(F.col("val") * F.col("_x")).alias("val"))
+
+
+def residual_sell(s: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
+    """b - A x of slices, over the index of b."""
+    return _residual(spmv_sell(s, x), b)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable
 
+import numpy as np
+
 Rows = dict[int, dict[int, float]]
 
 
@@ -89,6 +91,33 @@ def solve_upper(rows: Rows, b: dict[int, float]) -> dict[int, float]:
     return x
 
 
+def solve_tiles(tiles: dict[tuple[int, int], np.ndarray], b: dict[int, float], height: int, width: int, lower: bool, unit: bool) -> dict[int, float]:
+    """Substitution by rows of dense tiles: what lies before (after) the rows of a strip
+    is one product a tile, the square on the diagonal is solved row by row."""
+    lo, hi = min(b), max(b) + 1
+    x, rhs = np.zeros(hi - lo), np.array([b[i] for i in range(lo, hi)])
+    strips: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for (i, j), t in tiles.items():
+        strips.setdefault(i, []).append((j, t))
+    for i in sorted({k // height for k in range(lo, hi)}, reverse=not lower):
+        top, end = max(lo, i * height), min(hi, (i + 1) * height)
+        left, square = rhs[top - lo : end - lo].copy(), np.zeros((height, height))
+        for j, t in strips.get(i, ()):
+            cols = np.arange(j * width, (j + 1) * width)
+            own = (cols >= top) & (cols < end)
+            square[:, cols[own] - i * height] = t[:, own]
+            done = (cols >= lo) & (cols < top) if lower else (cols >= end) & (cols < hi)
+            left -= t[top - i * height : end - i * height, done] @ x[cols[done] - lo]
+        for r in range(top, end) if lower else range(end - 1, top - 1, -1):
+            k = r - i * height
+            before = slice(top - i * height, k) if lower else slice(k + 1, end - i * height)
+            s = left[r - top] - square[k, before] @ x[before.start + i * height - lo : before.stop + i * height - lo]
+            if not unit and square[k, k] == 0.0:
+                raise ValueError(f"row {r} has no usable pivot")
+            x[r - lo] = s if unit else s / square[k, k]
+    return dict(zip(range(lo, hi), x.tolist()))
+
+
 def approximate_inverse(rows: Rows, tol: float = 0.1, acc: float = 1.0, follow_fill: bool = False) -> tuple[Rows, Rows, dict[int, float]]:
     """Biconjugation: (Z, W, d) with the inverse about Z diag(1/d) W'.  Z and W are
     given by vectors: z[i], w[i].  Vector i is made conjugate to the earlier ones

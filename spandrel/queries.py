@@ -7,13 +7,15 @@ colours of neighbours differ), which plain SQL states.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import vec as V
+from .meta import MatrixMeta
 from .operators import blocks as B
 from .operators import formats as T
 from .operators import graph as G
@@ -25,7 +27,8 @@ from .plans import nested as N
 from .plans import precond as P
 from .plans import report as R
 from .plans.spaces import FrameSpace
-from .session import written
+from .session import shared_folder, written
+from .sources import matrix_market as M
 from .sources import stencils as Z
 from .sources.tables import embedding_matrix, order_supplier, part_supplier, supplier_index, table
 
@@ -78,19 +81,9 @@ def _numbers(spark: SparkSession, d: str) -> DataFrame:
 # ---- vectors
 
 
-@query("SELECT c_custkey AS idx, c_acctbal + o AS add, c_acctbal - o AS sub, c_acctbal * o AS mul, CASE WHEN o = 0 THEN 'nan'::DOUBLE ELSE c_acctbal / o END AS div FROM customer JOIN (SELECT c_custkey AS k, (c_custkey % 7)::DOUBLE AS o FROM customer) ON k = c_custkey WHERE c_custkey % 7 <> 0")
-def vec_arith(spark, d):
-    x = _numbers(spark, d).where("idx % 7 <> 0")
-    y = x.select("idx", (F.col("idx") % 7).cast("double").alias("val"))
-    out = x.select("idx")
-    for op in V.OPERATORS:
-        out = out.join(V.combined(x, y, op).withColumnRenamed("val", op), "idx")
-    return out
-
-
 @query("SELECT c_custkey AS idx, c_acctbal + o AS add, c_acctbal - o AS sub, c_acctbal * o AS mul, CASE WHEN o <> 0 THEN c_acctbal / o WHEN c_acctbal > 0 THEN 'inf'::DOUBLE WHEN c_acctbal < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS div FROM (SELECT c_custkey, c_acctbal, (c_custkey % 7)::DOUBLE AS o FROM customer)")
-def vec_arith_whole(spark, d):
-    """vec_arith over every customer, divisors that are 0 included."""
+def vec_arith(spark, d):
+    """Every customer, divisors that are 0 included."""
     x = _numbers(spark, d)
     y = x.select("idx", (F.col("idx") % 7).cast("double").alias("val"))
     out = x.select("idx")
@@ -156,10 +149,35 @@ def complex_dot(spark, d):
     return V.complex_dot(z, z).select(F.col("val.re").alias("re"), F.col("val.im").alias("im")).join(plain, F.lit(True))
 
 
-@query()
+# a half has 11 bits from its leading one on; the balances are far from its limits
+_HALF = "CASE WHEN v = 0 THEN 0 ELSE round_even(v / pow(2, floor(log2(abs(v))) - 10), 0) * pow(2, floor(log2(abs(v))) - 10) END::DOUBLE"
+
+
+@query(f"SELECT idx, {_HALF} AS val FROM (SELECT c_custkey AS idx, c_acctbal / 100 AS v FROM customer)")
 def half_precision(spark, d):
-    """Half-precision rounding of balances; tests compare with numpy."""
-    return V.cast(_numbers(spark, d).withColumn("val", F.col("val") / 100), "half")
+    x = _numbers(spark, d).withColumn("val", F.col("val") / 100)
+    return V.cast(x, "half").select("idx", F.col("val").cast("double").alias("val"))
+
+
+@query("SELECT c_custkey AS idx, round(2.5 + c_acctbal, 6) AS add, round(2.5 * c_acctbal, 6) AS mul, round(c_acctbal / 2.5, 6) AS div, round(c_acctbal - 2.5, 6) AS sub FROM customer")
+def vec_scalar(spark, d):
+    """A number and a vector, in each operator."""
+    x = _numbers(spark, d)
+    out = x.select("idx")
+    for op, f in V.OPERATORS.items():
+        out = out.join(V.mapped(x, lambda v, f=f: F.round(f(v, F.lit(2.5)), 6)).withColumnRenamed("val", op), "idx")
+    return out
+
+
+@query("SELECT idx, j, v + v * 2 AS add, v - v * 2 AS sub, 3.0 * v AS scaled FROM (SELECT vec_id AS idx, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INTEGER AS j FROM embeddings)")
+def dense_arith(spark, d):
+    """Sum and difference of two dense matrices, and a multiple of one."""
+    m = embedding_matrix(spark, d)
+    twice = m.withColumn("val", F.col("val") * 2)
+    out = V.scaled(m, 3.0).withColumnRenamed("val", "scaled")
+    for op in ("add", "sub"):
+        out = out.join(V.combined(m, twice, op, ("idx", "j")).withColumnRenamed("val", op), ["idx", "j"])
+    return out.select("idx", F.col("j").cast("int").alias("j"), "add", "sub", "scaled")
 
 
 # ---- generators
@@ -178,6 +196,45 @@ def random_fill(spark, d):
     return Z.pseudo_random(spark, 5000, -1.0, 1.0, 3)
 
 
+# ---- files: written to the shared folder and read again
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@query(f"WITH {_P} SELECT * FROM p")
+def mm_roundtrip(spark, d):
+    path = _file(spark, "parts.mtx")
+    M.write_matrix(part_supplier(spark, d), MatrixMeta(table(spark, d, "part").count(), supplier_index(spark, d).count()), path)
+    return M.read_matrix(spark, path)[0]
+
+
+@query("SELECT s_suppkey AS idx, s_acctbal AS val FROM supplier")
+def mm_vector_roundtrip(spark, d):
+    path = _file(spark, "balances_b.mtx")
+    v = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("val"))
+    M.write_vector(v, v.count(), path)
+    return M.read_vector(spark, path)
+
+
+@query(f"WITH {_G}, {_X} SELECT g.row, g.col, g.val, x.val AS rhs FROM g JOIN x ON g.row = x.idx")
+def index_pair_roundtrip(spark, d):
+    path, b = _file(spark, "sys_00000001"), ones_up(spark, d)
+    M.write_index_coefficients(gram_matrix(spark, d), b, b.count(), path)
+    a, _, rhs = M.read_index_coefficients(spark, path)
+    return a.join(rhs.select(F.col("idx").alias("row"), F.col("val").alias("rhs")), "row")
+
+
+@query("SELECT c_name AS Problem, c_mktsegment AS Method, c_custkey AS Iter, CASE WHEN c_acctbal < 0 THEN 'nan'::DOUBLE ELSE c_acctbal END AS ImplRes FROM customer")
+def csv_roundtrip(spark, d):
+    path = _file(spark, "results.csv")
+    c = table(spark, d, "customer")
+    given = {"Problem": F.col("c_name"), "Method": F.col("c_mktsegment"), "Iter": F.col("c_custkey"), "ImplRes": F.when(F.col("c_acctbal") < 0, F.lit("-nan")).otherwise(F.col("c_acctbal").cast("string"))}
+    R.write_results(c.select(*[given.get(f, F.lit("0")).alias(f) for f in R.FIELDS]), path)
+    return R.read_results(spark, path).select("Problem", "Method", "Iter", "ImplRes")
+
+
 # ---- products
 
 
@@ -310,9 +367,61 @@ def spmv_sellsig(spark, d):
     return T.spmv_sell(T.sell_sigma(part_supplier(spark, d)), ones_up(spark, d))
 
 
+_PZ = f"WITH {_P}, {_X}, y AS (SELECT p.row, sum(p.val * x.val) AS v FROM p JOIN x ON p.col = x.idx GROUP BY p.row) SELECT p_partkey AS idx, p_size - coalesce(v, 0)::DOUBLE AS val FROM part LEFT JOIN y ON y.row = p_partkey"
+
+
+def _part_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("val"))
+
+
+@query(_PZ)
+def residual_bcsr(spark, d):
+    return T.residual_bcsr(T.bcsr(part_supplier(spark, d), 4, 2), ones_up(spark, d), _part_sizes(spark, d), 4, 2)
+
+
+@query(_PZ)
+def residual_sell(spark, d):
+    return T.residual_sell(T.sell(part_supplier(spark, d)), ones_up(spark, d), _part_sizes(spark, d))
+
+
+@query(_PZ)
+def residual_sellsig(spark, d):
+    return T.residual_sell(T.sell_sigma(part_supplier(spark, d)), ones_up(spark, d), _part_sizes(spark, d))
+
+
+@query(_SQL["csr_to_bcsr"].replace("list(coalesce(p.val, 0) ORDER BY k, r)", "list((coalesce(p.val, 0) / 7)::FLOAT::DOUBLE ORDER BY k, r)"))
+def cast_bcsr(spark, d):
+    tiles = T.cast_tiles(T.bcsr(part_supplier(spark, d).withColumn("val", F.col("val") / 7), 4, 2), "float")
+    return tiles.select("brow", "bcol", V.cast_array(F.col("vals"), "double").alias("vals"))
+
+
+@query(_SQL["csr_to_sell"].replace("coalesce(k.val, 0) AS val", "(coalesce(k.val, 0) / 7)::FLOAT::DOUBLE AS val"))
+def cast_sell(spark, d):
+    s = V.cast(T.sell(part_supplier(spark, d).withColumn("val", F.col("val") / 7)), "float")
+    return s.withColumn("val", F.col("val").cast("double"))
+
+
 # ---- structure
 
 
+@query(f"WITH {_G} SELECT row, col, CASE WHEN row = col THEN 1 / val ELSE val END AS val FROM g WHERE col <= row")
+def invert_last(spark, d):
+    return X.inverted_diagonal(gram_matrix(spark, d).where("col <= row"))
+
+
+@query(f"WITH {_G}, m AS (SELECT row, max(abs(val)) AS m FROM g WHERE row <> col GROUP BY row) SELECT g.row, g.col, g.val, g.col % 2 = 0 AS coarse FROM g JOIN m ON g.row = m.row WHERE g.row <> g.col AND abs(g.val) >= 0.6 * m.m")
+def strong_split(spark, d):
+    """Strong entries by whether their column is coarse; every other supplier is."""
+    strong = X.strong_weak(gram_matrix(spark, d)).where("strong")
+    coarse, fine = X.by_coarseness(strong, supplier_index(spark, d).where("idx % 2 = 0"))
+    return coarse.withColumn("coarse", F.lit(True)).unionByName(fine.withColumn("coarse", F.lit(False)))
+
+
+@query(f"WITH {_G} SELECT col AS row, row AS col, 0.0::DOUBLE AS val FROM g")
+def pattern_transpose(spark, d):
+    return S.pattern_transpose(gram_matrix(spark, d))
+
+
 @query(f"WITH {_G} SELECT row, col, CASE WHEN row = col THEN 1.0 ELSE val END::DOUBLE AS val FROM g WHERE col <= row")
 def split_lower(spark, d):
     return X.lower_unit(gram_matrix(spark, d))
@@ -374,21 +483,8 @@ def permute_vector(spark, d):
 # ---- graphs
 
 
-def _customer_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Part to supplier edges with parts folded onto 97 numbers: sparse and directed."""
-    return table(spark, d, "lineitem").select((F.col("l_partkey") % 97).alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst")).distinct()
-
-
-_E = "e AS (SELECT DISTINCT l_partkey % 97 AS src, l_suppkey + l_linenumber AS dst FROM lineitem)"
-
-
-@query(f"WITH {_E} SELECT src, dst FROM e UNION SELECT dst, src FROM e")
-def graph_symmetrize(spark, d):
-    return G.symmetrized(_customer_graph(spark, d))
-
-
 @query("WITH e AS (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
-def graph_symmetrize_whole(spark, d):
+def graph_symmetrize(spark, d):
     """The whole part to supplier pattern: parts have even numbers, suppliers odd ones."""
     return G.symmetrized(table(spark, d, "lineitem").select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct())
 
@@ -414,9 +510,13 @@ def _coloring(kind: str) -> Query:
     return lambda spark, d: _proper(spark, G.colored(G.symmetrized(G.graph(Z.hpcg(spark, 5))), kind), 5)
 
 
-for _kind in ("cyclic", "hybrid"):
-    _QUERIES[f"color_{_kind}"] = _coloring(_kind)
-    _SQL[f"color_{_kind}"] = "SELECT 125::BIGINT AS nodes, 0::BIGINT AS uncolored, 0::BIGINT AS conflicts"
+_QUERIES["color_hybrid"], _SQL["color_hybrid"] = _coloring("hybrid"), "SELECT 125::BIGINT AS nodes, 0::BIGINT AS uncolored, 0::BIGINT AS conflicts"
+
+
+# colours in turn: inner points have 26 neighbours, so there are 27 colours
+@query(_FIRST_FIT.replace("(SELECT min(k) FROM range(1, 40) t(k) WHERE k NOT IN", "(SELECT min_by((cs[-1] + k) % 27 + 1, k) FROM range(0, 27) t(k) WHERE (cs[-1] + k) % 27 + 1 NOT IN"))
+def color_cyclic(spark, d):
+    return G.colored(G.symmetrized(G.graph(Z.hpcg(spark, 4))), "cyclic")
 
 
 @query("SELECT 125::BIGINT AS nodes, 0::BIGINT AS uncolored, 0::BIGINT AS conflicts")
@@ -444,6 +544,11 @@ def connected_blocks(spark, d):
     return G.connected_blocks(G.graph(Z.hpcg(spark, 6)), 14).groupBy("block").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query("SELECT range AS part, 72::BIGINT AS nodes FROM range(3)")
+def kway_parts(spark, d):
+    return G.k_way(G.graph(Z.hpcg(spark, 6)), 3, separator=False).groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query("SELECT 216::BIGINT AS nodes, 0::BIGINT AS cut_edges")
 def kway_separator(spark, d):
     part = G.k_way(G.graph(Z.hpcg(spark, 6)), 3)
@@ -487,6 +592,42 @@ def trsv_jacobi(spark, d):
     return _rounded(S.spmv(low, P.damped_jacobi_solve(low, Z.iota(spark, 125, 1), 24)))
 
 
+@query(_ONE_UP.format(n=125))
+def trsv_jacobi_sell(spark, d):
+    """The same sweeps over slices: padding is zero, so a product of slices is enough."""
+    low = X.scaled_symmetric(Z.hpcg(spark, 5)).where("col <= row")
+    return _rounded(S.spmv(low, P.damped_jacobi_solve(T.sell(low, 8, right=True), Z.iota(spark, 125, 1), 24)))
+
+
+@query(_ONE_UP.format(n=125))
+def trsv_jacobi_sell_upper(spark, d):
+    up = X.scaled_symmetric(Z.hpgmp(spark, 5)).where("col >= row")
+    return _rounded(S.spmv(up, P.damped_jacobi_solve(T.sell(up, 8), Z.iota(spark, 125, 1), 40, 0.8)))
+
+
+def _tiled(a: DataFrame, blocks: int, n: int) -> DataFrame:
+    """Tiles of 4 x 2 of (block, row, col, val), by block."""
+    rows = F.col("brow") * 4
+    return T.bcsr(a, 4, 2).withColumn("block", X.block_of(rows, n, blocks, 4))
+
+
+def _tile_solve(blocks: int, lower: bool, unit: bool) -> Query:
+    """T x of the solution of T x = idx + 1 by tiles, for a triangle T of each block."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        a = X.block_diagonal(X.scaled_symmetric(Z.hpgmp(spark, 6)), 216, blocks, 4)
+        t = a.where("col <= row" if lower else "col >= row")
+        b = Z.iota(spark, 216, 1).select(X.block_of(F.col("idx"), 216, blocks, 4).alias("block"), "idx", "val")
+        x = B.solve_tiles(_tiled(t, blocks, 216), b, 4, 2, lower, unit)
+        return _rounded(S.spmv(X.lower_unit(t) if unit else t, x))
+
+    return run
+
+
+for _name, _args in {"trsv_tiles_lower": (1, True, False), "trsv_tiles_unit": (1, True, True), "trsv_tiles_upper": (1, False, False), "trsv_bj_tiles": (6, True, False)}.items():
+    _QUERIES[_name], _SQL[_name] = _tile_solve(*_args), _ONE_UP.format(n=216)
+
+
 def _lu_on_pattern(f: DataFrame, a: DataFrame) -> DataFrame:
     lower = X.lower_unit(f.where("col <= row"))
     product = S.spgemm(lower, X.upper(f)).withColumnRenamed("val", "lu")
@@ -584,6 +725,104 @@ for _name, _make in {
     _QUERIES[_name], _SQL[_name] = _gram_solver(_make), _SOLVED
 
 
+# ---- a few steps of each solver against the same recurrence in SQL
+
+
+class _Steps:
+    """Common table expressions of a recurrence over state columns by idx: each step
+    makes a new state from the last, from products and from dot products of it."""
+
+    def __init__(self, **start: str):
+        self.parts, self.n = [_D, _X, f"t0 AS MATERIALIZED (SELECT idx, {', '.join(f'{v} AS {c}' for c, v in start.items())} FROM x)"], 0
+        self.columns = list(start)
+
+    def step(self, **change: str) -> _Steps:
+        """New or changed columns, from expressions over the last state's."""
+        kept = [c for c in self.columns if c not in change]
+        self._state(", ".join([*kept, *(f"{v} AS {c}" for c, v in change.items())]), f"t{self.n}", [*kept, *change])
+        return self
+
+    def product(self, out: str, of: str) -> _Steps:
+        self.parts.append(f"m{self.n} AS MATERIALIZED (SELECT s.row AS idx, sum(s.val * t.{of}) AS {out} FROM s JOIN t{self.n} t ON s.col = t.idx GROUP BY s.row)")
+        kept = [c for c in self.columns if c != out]
+        self._state(", ".join([*kept, out]), f"(SELECT idx, {', '.join(kept)} FROM t{self.n}) JOIN m{self.n} USING (idx)", [*kept, out])
+        return self
+
+    def scalar(self, **sums: str) -> _Steps:
+        """A number over all rows, kept as a column of every row."""
+        kept = [c for c in self.columns if c not in sums]
+        self._state(", ".join([*kept, *(f"(SELECT {v} FROM t{self.n}) AS {c}" for c, v in sums.items())]), f"t{self.n}", [*kept, *sums])
+        return self
+
+    def _state(self, columns: str, source: str, names: list[str]) -> None:
+        self.n += 1
+        self.parts.append(f"t{self.n} AS MATERIALIZED (SELECT idx, {columns} FROM {source})")
+        self.columns = names
+
+    def sql(self) -> str:
+        return f"WITH {', '.join(self.parts)} SELECT idx, round(x, 5) AS x, round((SELECT sqrt(sum(r * r)) FROM t{self.n}) / (SELECT sqrt(sum(val * val)) FROM x), 6) AS res FROM t{self.n}"
+
+
+def _steps_cg(n: int) -> str:
+    s = _Steps(x="0.0::DOUBLE", r="val", p="val").scalar(rr="sum(r * r)")
+    for _ in range(n):
+        s.product("q", "p").scalar(a="any_value(rr) / sum(p * q)").step(x="x + a * p", r="r - a * q").scalar(new="sum(r * r)").step(p="r + new / rr * p", rr="new")
+    return s.sql()
+
+
+def _steps_cr(n: int) -> str:
+    s = _Steps(x="0.0::DOUBLE", r="val", p="val").product("az", "r").step(q="az").scalar(za="sum(r * az)")
+    for _ in range(n):
+        s.scalar(a="any_value(za) / sum(q * q)").step(x="x + a * p", r="r - a * q").product("az", "r").scalar(new="sum(r * az)").step(p="r + new / za * p", q="az + new / za * q", za="new")
+    return s.sql()
+
+
+def _steps_bicgstab(n: int) -> str:
+    s = _Steps(x="0.0::DOUBLE", r="val", p="val", w="val").scalar(rho="sum(w * r)")
+    for _ in range(n):
+        s.product("v", "p").scalar(a="any_value(rho) / sum(w * v)").step(h="r - a * v").product("t", "h").scalar(o="sum(t * h) / sum(t * t)")
+        s.step(x="x + a * p + o * h", r="h - o * t").scalar(new="sum(w * r)").step(p="r + new / rho * a / o * (p - o * v)", rho="new")
+    return s.sql()
+
+
+def _steps_gcr() -> str:
+    """Two steps: the second direction's image is made orthogonal to the first's."""
+    s = _Steps(x="0.0::DOUBLE", r="val", u="val").product("c", "u").scalar(cc="sum(c * c)", rc="sum(r * c)").step(x="x + rc / cc * u", r="r - rc / cc * c")
+    s.product("d", "r").scalar(f="sum(d * c) / any_value(cc)").step(u="r - f * u", d="d - f * c").scalar(cc="sum(d * d)", rc="sum(r * d)")
+    return s.step(x="x + rc / cc * u", r="r - rc / cc * d").sql()
+
+
+def _steps_richardson(n: int, omega: str) -> str:
+    s = _Steps(x="0.0::DOUBLE", r="val")
+    for _ in range(n):
+        s.product("q", "r").scalar(o=omega).step(x="x + o * r", r="r - o * q")
+    return s.sql()
+
+
+def _first_steps(make: Callable[[FrameSpace], object]) -> Query:
+    """(idx, x, res): the iterate after so many steps, and its relative residual."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g, b = written(X.scaled_symmetric(gram_matrix(spark, d))), ones_up(spark, d)
+        space = FrameSpace(g, b.select("idx"))
+        v = space.vector(b)
+        x = space.frame_of(make(space).solve(v, None, lambda k, norm: False)[0])
+        left = S.residual(g, x, b).join(b.select("idx", F.col("val").alias("b")), "idx")
+        res = left.agg((F.sqrt(F.sum(F.col("val") * F.col("val"))) / F.sqrt(F.sum(F.col("b") * F.col("b")))).alias("res"))
+        return x.join(res, F.lit(True)).select("idx", F.round("val", 5).alias("x"), F.round("res", 6).alias("res"))
+
+    return run
+
+
+for _name, (_make, _sql) in {
+    "cg_steps": (lambda s: K.CG(s, None, 3), _steps_cg(3)), "cr_steps": (lambda s: K.CR(s, None, 3), _steps_cr(3)),
+    "bicgstab_steps": (lambda s: K.BiCGStab(s, None, 2), _steps_bicgstab(2)), "gcr_steps": (lambda s: K.GCR(s, None, 2), _steps_gcr()),
+    "fgmres_steps": (lambda s: K.FGMRES(s, None, 2), _steps_gcr()), "richardson_steps": (lambda s: K.Richardson(s, None, 3, 0.42), _steps_richardson(3, "max(0.42::DOUBLE)")),
+    "auto_richardson_steps": (lambda s: K.AdaptiveRichardson(s, None, 3, 1), _steps_richardson(3, "sum(q * r) / sum(q * q)")),
+}.items():
+    _QUERIES[_name], _SQL[_name] = _first_steps(_make), _sql
+
+
 @query("SELECT range AS idx, (range + 1)::DOUBLE AS val, true AS solved FROM range(343)")
 def amg_vcycle(spark, d):
     a = written(Z.hpcg(spark, 7))
@@ -627,6 +866,8 @@ def _nested(config: N.Config, spd_only: bool = False) -> Query:
 for _name, _config in {
     "f3r_fp64": N.Config(), "f3r_fp32": N.Config(precision="float"), "f3r_fp16": N.Config(precision="half"),
     "f3r_static": N.Config("static", "half", omega=0.9), "f3r_sdainv": N.Config(precision="float", preconditioner="sdainv"),
+    "f3r_sdainv_fp64": N.Config(preconditioner="sdainv"), "f3r_sdainv_fp16": N.Config(precision="half", preconditioner="sdainv"),
+    "gmres_sdainv": N.Config("gmres", "float", preconditioner="sdainv"), "bicgstab_sdainv": N.Config("bicgstab", "half", preconditioner="sdainv"),
     "depth_f2": N.Config("f2", "float"), "depth_f2h": N.Config("f2h", "half"), "depth_f3": N.Config("f3", "half"),
     "depth_f3h": N.Config("f3h", "half"), "depth_f4": N.Config("f4", "half"), "pipeline_gmres": N.Config("gmres"), "pipeline_bicgstab": N.Config("bicgstab"),
 }.items():
@@ -634,6 +875,56 @@ for _name, _config in {
 _QUERIES["pipeline_cg"], _SQL["pipeline_cg"] = _nested(N.Config("cg"), True), _PAIR.replace("('hpcg'), ('hpgmp')", "('hpcg')")
 
 
+_QUERIES["cg_sdainv"], _SQL["cg_sdainv"] = _nested(N.Config("cg", "half", preconditioner="sdainv"), True), _SQL["pipeline_cg"]
+
+
+@query(f"WITH {_stencil(6)} SELECT s AS system, count(*) AS entries, 0::BIGINT AS off_grid, true AS near FROM h, (VALUES ('hpcg'), ('hpgmp')) t(s) WHERE least(row // 54, 3) = least(col // 54, 3) GROUP BY s")
+def factor_fp16(spark, d):
+    """Factors kept in half precision: all values are multiples of 2^-10 of their
+    leading power of two, and L U is the scaled matrix, on its pattern, up to them."""
+    a = _systems(spark)[0]
+    f = written(N.factors(a, 4, "half"))
+    grid = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("val"))) - 10)
+    on_grid = f.groupBy("system").agg(F.count(F.lit(1)).alias("entries"), F.count(F.when(F.col("val") / grid != F.rint(F.col("val") / grid), 1)).alias("off_grid"))
+    lower = X.lower_unit(f.where("col <= row")).select("system", "row", F.col("col").alias("k"), F.col("val").alias("l"))
+    up = f.where("col >= row").select("system", F.col("row").alias("k"), "col", F.col("val").alias("u"))
+    lu = lower.join(up, ["system", "k"]).groupBy("system", "row", "col").agg(F.sum(F.col("l") * F.col("u")).alias("lu"))
+    off = a.join(lu.join(f.select("system", "row", "col"), ["system", "row", "col"]), ["system", "row", "col"])
+    near = off.groupBy("system").agg((F.max(F.abs(F.col("lu") - F.col("val") / 26.0)) < 2.0**-9).alias("near"))
+    return on_grid.join(near, "system")
+
+
+def _report_configs() -> dict[str, N.Config]:
+    return {"F3R": N.Config(precision="half"), "CG": N.Config("cg"), "GMRES": N.Config("gmres", "float"), "BiCGStab": N.Config("bicgstab"), "F3R-Static": N.Config("static", "float", omega=0.9), "F4": N.Config("f4", "half")}
+
+
+@query("""SELECT 'hpcg' AS Problem, * FROM (VALUES ('F3R', '_Float16', 8, 4, 2, 64.0), ('CG', 'double', 0, 0, 0, 0.0), ('GMRES', 'float', 0, 0, 0, 0.0), ('BiCGStab', 'double', 0, 0, 0, 0.0),
+('F3R-Static', 'float', 8, 4, 2, 0.9), ('F4', '_Float16', 0, 0, 0, 0.0)) t(Method, Prec, M2, M3, M4, W), (SELECT 'BJILU0' AS Precond, 1.0::DOUBLE AS ACC, true AS timed, true AS iterated, true AS implicit, true AS explicit)""".replace("SELECT 'hpcg' AS Problem, *", "SELECT 'hpcg' AS Problem, Method, Prec, M2::BIGINT AS M2, M3::BIGINT AS M3, M4::BIGINT AS M4, W::DOUBLE AS W, Precond, ACC, timed, iterated, implicit, explicit"))
+def solve_report(spark, d):
+    """Result rows of one system by six methods: a preconditioner is called 64 times a
+    step of F3R and of F4, and no method needs 130 calls or leaves 1e-8."""
+    a, b = (x.where("system = 'hpcg'") for x in _systems(spark))
+    out = None
+    for config in _report_configs().values():
+        rows = N.report_rows(N.run_systems(a, b, config, 2), config)
+        out = rows if out is None else out.unionByName(rows)
+    calls = F.when(F.col("Method").isin("F3R", "F3R-Static", "F4"), F.col("Iter") % 64 == 0).otherwise(True)
+    out = out.withColumn("timed", F.col("Time") > 0).withColumn("iterated", calls & F.col("Iter").between(1, 192))
+    return out.withColumn("implicit", F.col("ImplRes") < 1e-8).withColumn("explicit", F.col("ExplRes") < 2e-8).drop("Time", "Iter", "ImplRes", "ExplRes")
+
+
+@query("SELECT s AS system, true AS starts, true AS numbered, true AS falls, true AS ends FROM (VALUES ('hpcg'), ('hpgmp')) t(s)")
+def convergence_log(spark, d):
+    """What GMRES(64) logs: 1 at step 0, never rising, below 1e-8 at the end only."""
+    log = N.convergence(*_systems(spark), N.Config("gmres"))
+    before = F.lag("relres").over(Window.partitionBy("system").orderBy("step"))
+    log = log.withColumn("rise", F.col("relres") > before * (1 + 1e-12))
+    return log.groupBy("system").agg(
+        (F.max(F.when(F.col("step") == 0, F.round("relres", 12))) == 1).alias("starts"), (F.max("step") + 1 == F.count(F.lit(1))).alias("numbered"),
+        (F.count(F.when(F.col("rise"), 1)) == 0).alias("falls"), ((F.count(F.when(F.col("relres") < 1e-8, 1)) == 1) & (F.max_by("relres", "step") < 1e-8)).alias("ends"),
+    )
+
+
 @query("SELECT range AS idx, (range + 1)::DOUBLE AS re, (range % 3)::DOUBLE AS im FROM range(125)")
 def cocg_complex(spark, d):
     """(A + 5 i I) x for the solution of a complex symmetric system, in one task."""
@@ -724,6 +1015,19 @@ def parameter_sweep(spark, d):
     return R.parameter_sweep(spark, ["a", "b"], ["f3r", "cg"], [(8, 4, 2), (10, 4, 2), (8, 3, 2)])
 
 
+@query("SELECT platform, \"symmetric\", place::INTEGER AS place, problem, acc::DOUBLE AS acc, m2::INTEGER AS m2, m3::INTEGER AS m3, m4::INTEGER AS m4 FROM (VALUES " + ", ".join(str((p, y, i, *[x if j == 0 else float(x) if j == 1 else int(x) for j, x in enumerate(c.split())])) for (p, y), t in R.CATALOGUE.items() for i, c in enumerate(t.split(","))) + ") t(platform, \"symmetric\", place, problem, acc, m2, m3, m4)")
+def problem_catalogue(spark, d):
+    return R.problem_catalogue(spark)
+
+
+@query(f"""WITH {_R}, k AS (SELECT Problem, max(Iter) FILTER (Tag = '1') AS a, max(Iter) FILTER (Tag = '2') AS b FROM q WHERE Tag IN ('1', '2') GROUP BY Problem),
+s AS (SELECT Problem, coalesce(a::VARCHAR, 'NaN') AS a, coalesce(b::VARCHAR, 'NaN') AS b FROM k), w AS (SELECT greatest(max(length(Problem)), 7) AS p, greatest(max(length(a)), 1) AS a, greatest(max(length(b)), 1) AS b FROM s)
+SELECT lpad(Problem, p::INTEGER, ' ') || ' ' || lpad(s.a, w.a::INTEGER, ' ') || ' ' || lpad(s.b, w.b::INTEGER, ' ') AS line FROM s, w""")
+def report_text(spark, d):
+    r = _results(spark, d)
+    return R.text_lines(R.pivoted([r.where("Tag in ('1', '2')")], ["1", "2"]), ["Problem", "1", "2"])
+
+
 @query("SELECT l_orderkey AS Problem, avg(l_quantity) AS Time, sum(l_linenumber) // count(*) AS Iter FROM lineitem GROUP BY l_orderkey")
 def repetition_means(spark, d):
     runs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("Problem"), F.col("l_quantity").alias("Time"), F.col("l_linenumber").cast("long").alias("Iter"))

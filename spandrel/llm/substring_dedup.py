@@ -14,13 +14,14 @@ to all documents:
    ANCHOR words in a window): equal windows have equal minimizers.  A chunk
    sends each distinct segment once, with its smallest document, to the shard
    of its minimizer.
-3. A shard builds suffix automata of its reference segments, streams all
-   segments through them for matching statistics, and finds the smallest
-   document of every window, comparing words, not hashes.
+3. A shard deals its minimizers into reference shards of about AUTOMATON_WORDS
+   words, builds the suffix automaton of each one's distinct segments, streams
+   every distinct segment through it for matching statistics, and so finds the
+   smallest document of every window, comparing words, not hashes.
 4. Chunks remove the maximal spans of windows with a smaller document.
 
 At scale: texts are shuffled once (by chunk; later steps reuse that exchange),
-hashes cost five bytes a distinct window (equal ones are candidates only).  A passage that a third of all
+chunks, buckets and shards are sized by bytes of text and by documents, hashes cost five bytes a distinct window (equal ones are candidates only).  A passage that a third of all
 documents share is sent once a chunk in every step, so no task sees more of it
 than there are chunks.
 """
@@ -43,12 +44,23 @@ from .suffix_automaton import SuffixAutomaton
 K = 13
 #: Words of the runs among which a window's minimizer is chosen.
 ANCHOR = 6
-#: Documents of a chunk, and documents for each hash bucket and shard.
-CHUNK_DOCS, BUCKET_DOCS = 2048, 16384
+#: Documents and bytes of a chunk, at most on average; as many times more for each
+#: hash bucket and shard.
+CHUNK_DOCS, CHUNK_BYTES, BUCKET_CHUNKS = 2048, 1 << 23, 8
+#: Words of the segments that share one suffix automaton, about.
+AUTOMATON_WORDS = 1 << 15
 #: A bucket's hashes are sent with so many bits.
 SENT_BITS = 40
 
 
+def _distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """Like numpy.unique, which hashes and takes many times longer on 64-bit values."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 class Chunk:
     """Words and windows of a chunk's documents.  Rows without an id have none."""
 
@@ -58,21 +70,23 @@ class Chunk:
         self.has_id = self.ids.is_valid().to_numpy(zero_copy_only=False)
         self.doc_id = self.ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.data, self.offsets = utf8(t.column("text"))
-        hashes, firsts, texts, ends = [], [0], [], [0]
+        hashes, firsts, texts, ends = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)]
+        n_words = size = 0
         for a, b in blocks(self.offsets):
             data, offsets = self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
             start, end, first = words(data, offsets)
-            hashes.append(word_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64))
+            hashes.append(word_hashes(data, start, end))
             # words one after another, each followed by a blank
             spaced, at = gathered(np.append(data, np.uint8(32)), start, end - start + 1)
             spaced[at - 1] = 32
             texts.append(spaced)
-            ends += (at + ends[-1]).tolist()
-            firsts += (first[1:] + firsts[-1]).tolist()
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.first = np.array(firsts, np.int64)
-        self.text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
-        self.word_at = np.array(ends, np.int64)
+            ends.append(at + size)
+            firsts.append(first[1:] + n_words)
+            n_words, size = n_words + len(start), size + len(spaced)
+        self.hash = np.concatenate(hashes or [np.zeros(0, np.uint64)])
+        self.first = np.concatenate(firsts)
+        self.text = np.concatenate(texts or [np.zeros(0, np.uint8)])
+        self.word_at = np.concatenate(ends)
         ok = within(self.first, k)
         owner = np.repeat(np.arange(len(self.doc_id)), np.diff(self.first))[: len(ok)]
         self.at = np.flatnonzero(ok & self.has_id[owner]) if len(ok) else np.zeros(0, np.int64)
@@ -80,9 +94,9 @@ class Chunk:
         self.window = window_hashes(self.hash, k)[self.at] if len(ok) else np.zeros(0, np.uint64)
 
 
-def bucket_bits(n_docs: int, least: int) -> int:
+def bucket_bits(n_chunks: int, least: int) -> int:
     """log2 of the number of buckets, and of shards."""
-    return max(1, (max(least, -(-n_docs // BUCKET_DOCS)) - 1).bit_length())
+    return max(1, (max(least, -(-n_chunks // BUCKET_CHUNKS)) - 1).bit_length())
 
 
 def _sent(window: np.ndarray, bits: int) -> np.ndarray:
@@ -96,7 +110,7 @@ def _bucket_edges(sent: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _distinct(chunk: Chunk, bits: int) -> pa.Table:
-    sent = np.unique(_sent(chunk.window, bits))
+    sent = _distinct_sorted(_sent(chunk.window, bits))
     edges = _bucket_edges(sent, bits)
     low = sent.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (min(64, SENT_BITS + bits) - bits + 7) // 8]
     full = np.flatnonzero(np.diff(edges))
@@ -127,7 +141,7 @@ def _shared(rows: pa.Table, bits: int) -> tuple[list[int], list[bytes]]:
 def _repeated(chunk: Chunk, replies: pa.Table, bits: int) -> np.ndarray:
     """Windows that another chunk or another document of this chunk may have."""
     sent = _sent(chunk.window, bits)
-    order = np.argsort(sent, kind="stable")
+    order = np.argsort(sent)
     ranked, doc = sent[order], chunk.doc_id[chunk.owner[order]]
     new = np.ones(len(sent), bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -177,25 +191,39 @@ def _segments(chunk: Chunk, chosen: np.ndarray, shards: int) -> dict[int, dict[b
 
 def _firsts(shard: list[tuple[int, bytes, int]], k: int) -> dict[bytes, list[int]]:
     """The smallest document of every window of each distinct segment, from
-    (minimizer, segment, document) rows; a document may repeat."""
+    (minimizer, segment, document) rows; a document may repeat.  Windows that are
+    equal have equal minimizers, so a minimizer's segments share an automaton."""
+    least: dict[bytes, int] = {}
+    of: dict[bytes, int] = {}
+    for minimizer, segment, doc in shard:
+        known = least.get(segment)
+        if known is None:
+            least[segment], of[segment] = doc, minimizer
+        elif doc < known:
+            least[segment] = doc
     out: dict[bytes, list[int]] = {}
-    for _, same in groupby(sorted(shard), key=lambda x: x[0]):
-        least: dict[bytes, int] = {}
-        for _, segment, doc in same:
-            least[segment] = min(doc, least.get(segment, doc))
-        split = {s: s.split(b" ") for s in least}
-        if len(least) == 1:  # one distinct segment is its own reference
-            (segment, doc), *_ = least.items()
-            out[segment] = [doc] * (len(split[segment]) - k + 1)
-            continue
-        automaton = SuffixAutomaton()
-        for segment in sorted(least, key=lambda s: (least[s], s)):
-            automaton.add(split[segment], least[segment])
-        for segment in least:
-            out[segment] = automaton.first_documents(split[segment], k)
+    reference: dict[bytes, list[bytes]] = {}
+    size = 0
+    for _, same in groupby(sorted(least, key=of.__getitem__), key=of.__getitem__):
+        for segment in same:
+            reference[segment] = segment.split(b" ")
+            size += len(reference[segment])
+        if size >= AUTOMATON_WORDS:
+            out.update(_matched(reference, least, k))
+            reference, size = {}, 0
+    out.update(_matched(reference, least, k))
     return out
 
 
+def _matched(reference: dict[bytes, list[bytes]], least: dict[bytes, int], k: int) -> Iterator[tuple[bytes, list[int]]]:
+    """Each segment of a reference shard streamed through the shard's automaton."""
+    automaton = SuffixAutomaton()
+    for segment in sorted(reference, key=lambda s: (least[s], s)):
+        automaton.add(reference[segment], least[segment])
+    for segment, split in reference.items():
+        yield segment, automaton.first_documents(split, k)
+
+
 def _answers(rows: pa.Table, k: int) -> Iterator[tuple[int, bytes, bytes]]:
     """For each chunk: hashes of the windows it sent whose smallest document is
     below the largest it has them in, and those documents."""
@@ -239,6 +267,20 @@ def _kept(chunk: Chunk, gone: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": chunk.ids, "n_words": n_words, "n_removed": n_words - np.diff(count[chunk.first]), "kept_text": pa.array(texts, pa.string())})
 
 
+OUTPUT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def _whole(k: int):
+    """Leaves texts as they are, but for the blanks between words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = Chunk(pa.Table.from_batches([batch]), k)
+            yield from _kept(chunk, np.zeros(len(chunk.hash), bool)).to_batches()
+
+    return run
+
+
 def substring_dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row; kept_text has the
     remaining words with one blank between them.
@@ -250,10 +292,15 @@ def substring_dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_co
     gives no rows.
     """
     spark = docs.sparkSession
-    n_docs, least = docs.count(), partitions(spark)
-    chunks, bits = max(least, -(-n_docs // CHUNK_DOCS)), bucket_bits(n_docs, least)
+    texts = text_columns(docs, id_col, text_col)
+    n_docs, n_bytes = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    least = partitions(spark)
+    chunks = max(least, -(-n_docs // CHUNK_DOCS), -(-n_bytes // CHUNK_BYTES))
+    bits = bucket_bits(chunks, least)
     shards = 1 << bits
-    dealt = text_columns(docs, id_col, text_col).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
+    # rows without an id take no part
+    whole = texts.where("doc_id is null").mapInArrow(_whole(k), OUTPUT)
+    dealt = texts.where("doc_id is not null").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
     dealt = dealt.repartition("chunk")
 
     def send(t: pa.Table) -> pa.Table:
@@ -289,4 +336,4 @@ def substring_dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_co
     shared = sent.groupBy("bucket").applyInArrow(share, "chunk int, bucket int, bits binary")
     segments = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(cut_out, "shard int, chunk int, segments binary, minimizers binary, least binary, most binary")
     answers = segments.groupBy("shard").applyInArrow(match, "chunk int, windows binary, firsts binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, OUTPUT).unionByName(whole)

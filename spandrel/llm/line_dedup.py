@@ -2,7 +2,8 @@
 
 Pages are grouped by host.  A line's frequency is the number of the host's
 pages that contain it, divided by the host's pages; lines above a ratio are
-boilerplate and leave every page of that host.
+boilerplate and leave every page of that host.  A line on one page only repeats
+nothing and is never boilerplate, however few pages the host has.
 
 At scale: lines are counted by (host, line) with map-side sums, once per page.
 What comes back is small: a host has at most (lines of a page) / ratio
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.3
-#: Hosts with fewer pages have no boilerplate.
-MIN_PAGES = 5
+#: A line on fewer pages of a host repeats nothing.
+LEAST_PAGES = 2
 #: Groups over which a host's pages are dealt when lines return to them.
 SALTS = 64
 #: A \n-separated line is taken without white space at its ends.
@@ -44,8 +45,9 @@ def plain_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, TRIM, "")), lambda x: x != "")
 
 
-def line_dedup(pages: DataFrame, id_col: str = "page_id", host: Column | None = None, lines: Column | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(page_id, host, n_lines, n_dropped, kept_text) of every row.
+def line_dedup(pages: DataFrame, id_col: str = "page_id", host: Column | None = None, lines: Column | None = None, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+    """(page_id, host, n_lines, n_dropped, kept_text) of every row: a line goes if at
+    least ``least`` pages, and more than ``ratio`` of the pages, of its host have it.
 
     A null or empty page has no lines and an empty kept_text.  A null or
     unparsable URL belongs to the host ''.  Every row is a page of its own,
@@ -57,7 +59,7 @@ def line_dedup(pages: DataFrame, id_col: str = "page_id", host: Column | None =
     cells = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), lines.alias("lines"))
     counts = cells.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     totals = pages.select(host.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    common = counts.where("n > 1").join(totals.where(F.col("pages") >= min_pages), "host").where(F.col("n") > ratio * F.col("pages"))
+    common = counts.where(F.col("n") >= least).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     drop = common.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
     # every page has one salt; the few boilerplate lines of a host go to all salts
     drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

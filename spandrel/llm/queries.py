@@ -101,7 +101,7 @@ WITH cells AS (
   FROM pages),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cells) GROUP BY host, line),
 totals AS (SELECT host, count(*) AS pages FROM cells GROUP BY host),
-boilerplate AS (SELECT host, list(line) AS drop FROM counts JOIN totals USING (host) WHERE n > 1 AND pages >= 5 AND n > 0.3 * pages GROUP BY host),
+boilerplate AS (SELECT host, list(line) AS drop FROM counts JOIN totals USING (host) WHERE n >= 2 AND n > 0.3 * pages GROUP BY host),
 kept AS (SELECT page_id, host, lines, CASE WHEN drop IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(drop, x)) END AS kept
   FROM cells LEFT JOIN boilerplate USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,

@@ -5,7 +5,8 @@ pages that contain it, divided by the host's pages; lines above a ratio are
 boilerplate and leave every page of that host.  A line on one page only repeats
 nothing and is never boilerplate, however few pages the host has.
 
-At scale: lines are counted by (host, line) with map-side sums, once per page.
+At scale: the lines of all pages are written once to the shared folder, and
+counted by (host, line) with map-side sums, once per page.
 What comes back is small: a host has at most (lines of a page) / ratio
 boilerplate lines.  They return to the pages by (host, salt), so that one host
 with a third of all pages is spread over SALTS groups.
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.3
 #: A line on fewer pages of a host repeats nothing.
@@ -56,9 +59,10 @@ def line_dedup(pages: DataFrame, id_col: str = "page_id", host: Column | None =
     """
     host = host_of(F.col("url")) if host is None else host
     lines = visible_lines(F.col("html")) if lines is None else lines
-    cells = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), lines.alias("lines"))
+    # read twice below: a page's markup is taken apart once
+    cells = written(pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), lines.alias("lines")))
     counts = cells.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    totals = pages.select(host.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    totals = cells.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = counts.where(F.col("n") >= least).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     drop = common.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
     # every page has one salt; the few boilerplate lines of a host go to all salts

@@ -54,19 +54,18 @@ def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
 
 
-def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
-    """The SimHash of each list: bits set in more than half of its hashes."""
-    sizes = np.array([len(x) for x in hashes], np.int64)
-    out = np.zeros(len(hashes), np.uint64)
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For runs of hashes of these sizes, the bits set in more than half of a run."""
+    out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    raw = np.array([x for part in hashes for x in part], np.uint64).view(np.uint8).reshape(-1, 8)
+    raw = hashes.view(np.uint8).reshape(-1, 8)
     # lanes of bytes count up to 255 hashes at a time
     begins = np.cumsum(sizes) - sizes
     cuts = np.concatenate([np.arange(b, b + n, 255) for b, n in zip(begins[full], sizes[full])])
     owner = np.repeat(full, -(-sizes[full] // 255))
-    counts = np.zeros((len(hashes), 64), np.int64)
+    counts = np.zeros((len(sizes), 64), np.int64)
     for byte in range(8):
         lanes = np.add.reduceat(_LANES[raw[:, byte]], cuts)
         np.add.at(counts[:, 8 * byte : 8 * byte + 8], owner, lanes.view(np.uint8).reshape(-1, 8))
@@ -74,6 +73,11 @@ def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
+    """The SimHash of each list: bits set in more than half of its hashes."""
+    return majorities(np.array([x for part in hashes for x in part], np.uint64), np.array([len(x) for x in hashes], np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 

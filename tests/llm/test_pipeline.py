@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from spandrel.llm.queries import PIECE_FILE, tokenizer_path
-from tests.llm.test_text_operators import brute_components, brute_fingerprint
+from tests.llm.test_similar import brute_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +29,7 @@ def test_stages(spark, tmp_path):
                 best[key] = max(best.get(key, -1), r.doc_id)
             assert sorted(r.doc_id for r in now) == sorted(best.values())
         if k == 2:
-            parts = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])
-            assert sorted(r.doc_id for r in now) == sorted({c for _, _, c in parts})
+            assert sorted(r.doc_id for r in now) == sorted({c for _, c in brute_similar([(r.doc_id, r.text) for r in rows])})
         rows = now
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECE_FILE))
     text = {r.doc_id: r.text for r in rows}

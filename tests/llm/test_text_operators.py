@@ -78,6 +78,31 @@ def test_perfect_hash_of_full_buckets(seed, n):
         E.perfect_hash(np.repeat(d[:1], 3, axis=0))
 
 
+def test_perfect_hash_of_small_shards():
+    rng = np.random.default_rng(11)
+    for n in [*range(1, 101)] * 5 + [int(x) for x in rng.integers(5, 41, 211 * 4)]:
+        d = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+        seeds, slots = E.perfect_hash(d)
+        assert sorted(slots) == list(range(n)) and (E.slot_of(d, seeds, n) == slots).all()
+
+
+def test_new_documents(make, odd, empty, spark):
+    kind = "digest binary, winner long, copies long"
+    ab = hashlib.sha256(b"a b c").digest()
+    history = spark.createDataFrame([(bytearray(ab), 50, 1), (bytearray(ab), 70, 2), (None, 1, 1), (bytearray(hashlib.sha256(b"x").digest()), None, 1)], kind)
+    rows = E.new_documents(odd, history).collect()
+    assert len(rows) == odd.count()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows if r.text_sha256 == ab.hex()} == {(i, 70, 3, False) for i in (None, 6, 7)}
+    own = {(str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in E.exact_dedup(odd).collect() if r.text_sha256 != ab.hex()}
+    assert {(str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in rows if r.text_sha256 != ab.hex()} == own
+    assert [tuple(r)[1:4] for r in E.new_documents(make((5, "X")), history).collect()] == [(None, 1, False)]
+    none = spark.createDataFrame([], kind)
+    assert {(r.doc_id, r.kept) for r in E.new_documents(make((1, "a"), (2, "A")), none).collect()} == {(1, False), (2, True)}
+    assert E.new_documents(empty, history).collect() == []
+    hot = make(*[(i, "same") for i in range(1500)], (9999, "other"))
+    assert sorted((r.doc_id, r.keep_id) for r in E.new_documents(hot, none).collect() if r.kept) == [(1499, 1499), (9999, 9999)]
+
+
 def test_hot_groups_are_in_the_hash(make, monkeypatch):
     indexed, build = [], E.build_index
     monkeypatch.setattr(E, "build_index", lambda history, shards: indexed.extend(r.copies for r in history.collect()) or build(history, shards))
@@ -129,6 +154,30 @@ def test_substring_dedup_odd(odd, empty, real):
     assert sorted((tuple(r) for r in substring_dedup(real).collect()), key=str) == brute_substring(docs)
 
 
+def test_small_reference_shards_and_chunks(make, monkeypatch):
+    from spandrel.llm import substring_dedup as D
+
+    monkeypatch.setattr(D, "AUTOMATON_WORDS", 40)
+    monkeypatch.setattr(D, "CHUNK_BYTES", 4000)
+    rng = random.Random(9)
+    passages = [" ".join(f"p{rng.randint(0, 30)}" for _ in range(rng.randint(13, 60))) for _ in range(8)]
+    docs = [(i, " ".join([f"own{i}", rng.choice(passages), f"mid{i}", rng.choice(passages)])) for i in range(120)] + [(None, passages[0])] * 3
+    got = sorted((tuple(r) for r in substring_dedup(make(*docs)).collect()), key=str)
+    assert got == brute_substring(docs)
+
+
+def test_words_longer_than_a_hashing_block():
+    from spandrel.llm.common import word_hashes, words
+
+    rng = np.random.default_rng(1)
+    text = b" ".join(bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (3, 100, 1, 64, 7, 65, 1, 300, 2)) + b" \n x"
+    data = np.frombuffer(text * 3, np.uint8)
+    start, end, _ = words(data, np.array([0, len(data)]))
+    for size in (1, 7, 64, 65, 1000):
+        assert (word_hashes(data, start, end, size) == word_hashes(data, start, end)).all()
+    assert len(set(word_hashes(data, start, end).tolist())) == len({bytes(data[a:b]) for a, b in zip(start, end)})
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(30):
@@ -215,10 +264,22 @@ def test_line_dedup(spark):
     got = {(r.page_id, r.n_lines): r for r in line_dedup(pages).collect()}
     assert got[3, 3].kept_text == "own 3" and got[3, 3].n_dropped == 2
     assert got[0, 2].kept_text == "own 0" and got[0, 2].host == "a.example"
-    assert got[9, 2].kept_text == "menu\nown 9" and got[None, 0].kept_text == "" and got[20, 0].host == ""
+    assert got[9, 2].kept_text == "own 9" and got[None, 0].kept_text == "" and got[20, 0].host == ""
     assert line_dedup(pages.where("false")).collect() == []
 
 
+def test_line_dedup_of_small_hosts_and_odd_pages(spark):
+    from pyspark.sql import functions as F
+
+    long = "<p>long " + "x" * 200_000 + "</p>" + "<p>y</p>" * 20_000
+    rows = [(1, "http://one/", "<p>a<p>b"), (2, "http://two/", "<p>a<p>b"), (3, "http://two/", "<p>a<p>c"), (None, None, None), (4, "http://long/", long), (5, "http://long/", "<p>y"), (5, "http://long/", "<p>y"), (6, "http://x/", " \n ")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "lines", "n", "pages", "salt", "boilerplate", "kept"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    got = sorted(((r.page_id or 0), r.host, r.n_lines, r.n_dropped, r.kept_text[:8]) for r in line_dedup(pages).collect())
+    assert got == [(0, "", 0, 0, ""), (1, "one", 2, 0, "a\nb"), (2, "two", 2, 1, "b"), (3, "two", 2, 1, "c"), (4, "long", 20001, 20000, "long xxx"), (5, "long", 1, 1, ""), (5, "long", 1, 1, ""), (6, "x", 0, 0, "")]
+
+
 # tokens
 
 
@@ -257,6 +318,36 @@ def test_pieces(odd, empty, real):
         assert c.encode(s) == m.encode(s) and c.decode(m.encode(s)) == m.decode(m.encode(s))
 
 
+def test_long_words_are_not_remembered():
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    c, rng = PieceCoder(PIECES), random.Random(8)
+    learnt = []
+    learn = c._learn
+    c._learn = lambda: (learnt.extend(c.known.new), learn())[1]
+    usual = [f"word{i}" for i in range(50)]
+    for _ in range(6):
+        texts = [" ".join([*usual, "".join(rng.choice("abcdefgh") for _ in range(60)), "\n".join(usual)]) for _ in range(5)] + ["x" * 3000, "  ", "\n\n a \n"]
+        ids, offsets = c.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [m.encode(x) for x in texts] and c.decode_all(ids, offsets) == texts
+    assert len(learnt) == len(set(learnt)) and max(map(len, c.known)) <= 48
+
+
+def test_frequent_words_survive_forgetting(monkeypatch):
+    import sentencepiece
+
+    from spandrel.llm import pieces as Q
+
+    monkeypatch.setattr(Q, "REMEMBERED", 100)
+    m, c, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), PieceCoder(PIECES), random.Random(2)
+    for i in range(40):
+        texts = [" ".join(["the", "same", f"w{i}x{rng.randint(0, 9**9)}", f"é{i}日"]) for _ in range(9)]
+        ids, offsets = c.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [m.encode(x) for x in texts]
+    assert len(c.known) < 200 and "same" in c.known
+
+
 # secrets
 
 
@@ -326,12 +417,48 @@ def test_language_id(odd, empty, spark):
     assert {r.lang_pred for r in language_id(odd, train_language(empty)).collect()} == {"und"}
 
 
-def test_no_language_is_left_out(make, monkeypatch):
-    monkeypatch.setattr("spandrel.llm.language_id.MAX_LANGUAGES", 3)
-    docs = make(*[(i, f"text of {'abcd'[i % 4]}", "abcd"[i % 4]) for i in range(80)])
-    assert train_language(docs.where("lang <> 'd'")).languages == ["a", "b", "c"]
-    with pytest.raises(ValueError, match="more than 3"):
-        train_language(docs)
+def test_many_languages(make):
+    """More languages than dimensions, each with its own words: none is left out."""
+    names = [f"l{i:02d}" for i in range(40)]
+    docs = make(*[(i, " ".join(f"{names[i % 40]}q{k % 7}" for k in range(i, i + 12)), names[i % 40]) for i in range(1600)])
+    model = train_language(docs)
+    assert model.languages == names and model.layer is not None
+    rows = language_id(docs, model).collect()
+    assert np.mean([r.lang_pred == names[r.doc_id % 40] for r in rows if r.held_out]) > 0.98
+
+
+def test_training_texts_are_bounded(make, monkeypatch):
+    from spandrel.llm import linear
+
+    monkeypatch.setattr(linear, "LONG_TEXT", 100)
+    seen = []
+    monkeypatch.setattr("spandrel.llm.language_id.fit", lambda texts, y, held, languages: seen.extend(zip(texts, y.tolist())) or languages)
+    long = "mot " * 100
+    train_language(make(*[(i, "word " * 5 if i % 3 else "word " * 50, "en") for i in range(90)], *[(i, long, "fr") for i in range(100, 160)]))
+    assert max(len(t) for t, y in seen if y == 0) <= 100 and sum(y == 1 for _, y in seen) == linear.LONG_LIMIT
+
+
+def brute_means(table, parts):
+    return sum(np.array([table[b[x:y]].mean(axis=0) if y > x else np.zeros(table.shape[1:]) for x, y in zip(s, e)]) for b, s, e in parts)
+
+
+def test_scores_match_a_plain_reading(real):
+    """Predictions of both classifiers from Python strings, one feature at a time."""
+    from spandrel.llm import linear
+
+    texts = [r.text for r in real.limit(40).collect()] + ["", "a", "é"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    table = np.random.default_rng(0).normal(size=(3 << 16, 2))
+    parts = linear.features(data, offsets, (3, 4), True)
+    for step in (1, 100, 1 << 17):
+        assert np.allclose(linear.means(table, parts, step), brute_means(table, parts))
+    one = [linear.means(table, linear.features(np.frombuffer(x, np.uint8), np.array([0, len(x)]), (3, 4), True))[0] for x in raw]
+    assert np.allclose(one, linear.means(table, parts))
+    for (buckets, starts, ends), n in zip(parts, (3, 4)):
+        for x, a, b in zip(raw, starts, ends):
+            alone = [int(linear.byte_grams(np.frombuffer(x[i : i + n], np.uint8), n)[0]) for i in range(len(x) - n + 1)]
+            assert [v & 0xFFFF for v in buckets[a:b].tolist()] == alone
 
 
 # mixing

@@ -20,7 +20,8 @@ from spandrel.llm.mixing import mix
 from spandrel.llm.pieces import encode
 from spandrel.llm.quality import keep_quality, train
 from spandrel.llm.queries import PIECE_FILE, quality_weights, tokenizer_path
-from spandrel.llm.simhash import near_duplicates
+from spandrel.llm.similar import similar_documents
+from spandrel.session import removed
 
 
 def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -40,8 +41,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id."""
-    return _only(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+    """Of each group of documents whose shingles of five words have a similarity of 0.8
+    or more, by their fingerprints, the document with the smallest id."""
+    return _only(docs, similar_documents(docs).where("doc_id <=> component_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +68,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents; rows between stages are kept in the
-    shared checkpoint folder."""
+    shared checkpoint folder, and deleted when the next stage's are written."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

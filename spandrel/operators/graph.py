@@ -24,18 +24,24 @@ def symmetrized(g: DataFrame) -> DataFrame:
     return g.select("src", "dst").union(reversed_edges(g)).distinct()
 
 
-def colored(g: DataFrame, kind: str = "greedy", nodes: DataFrame | None = None) -> DataFrame:
-    """(idx, color) by a sequential colouring of a symmetric graph, colours from 1."""
-    return graph_labels(g, K.COLORINGS[kind], "color", nodes)
-
-
-def colored_parallel(g: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(idx, color) for graphs of any size: in every round the nodes whose hash is the
-    largest among their free neighbours take the smallest colour their neighbours
-    do not have.  A valid colouring, but not that of index order."""
+def colored(g: DataFrame, kind: str = "greedy", nodes: DataFrame | None = None, most: int = 5_000_000) -> DataFrame:
+    """(idx, color) by a colouring in index order of a symmetric graph, colours from 1.
+    Greedy graphs of more than ``most`` edges are coloured in rounds, with the same
+    result; the cyclic kinds follow one node after another and are refused there."""
+    if kind == "greedy" and g.count() > most:
+        own = [] if nodes is None else [nodes.select(F.col("idx").alias("src"), F.col("idx").alias("dst"))]
+        return colored_parallel(g.select("src", "dst").unionByName(own[0]) if own else g, order="index", most_rounds=100_000)
+    return graph_labels(g, K.COLORINGS[kind], "color", nodes, most)
+
+
+def colored_parallel(g: DataFrame, most_rounds: int = 200, order: str = "hash") -> DataFrame:
+    """(idx, color) for graphs of any size: in every round the nodes that come first
+    among their free neighbours take the smallest colour their neighbours do not
+    have.  Order "hash" needs few rounds; order "index" gives the greedy colouring of
+    index order, in as many rounds as its longest chain of neighbours."""
     edges = written(g.where("src <> dst").select("src", "dst").distinct())
-    order = F.xxhash64("idx")
-    state = written(g.select(F.col("src").alias("idx")).union(g.select(F.col("dst").alias("idx"))).distinct().select("idx", order.alias("h"), F.lit(None).cast("long").alias("color")))
+    rank = F.xxhash64("idx") if order == "hash" else -F.col("idx")
+    state = written(g.select(F.col("src").alias("idx")).union(g.select(F.col("dst").alias("idx"))).distinct().select("idx", rank.alias("h"), F.lit(None).cast("long").alias("color")))
     for _ in range(most_rounds):
         far = state.select(F.col("idx").alias("dst"), F.col("h").alias("_h"), F.col("color").alias("_c"))
         seen = edges.join(far, "dst").groupBy(F.col("src").alias("idx")).agg(F.max(F.when(F.col("_c").isNull(), F.struct("_h", F.col("dst").alias("_i")))).alias("top"), F.collect_set("_c").alias("used"))

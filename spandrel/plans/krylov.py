@@ -223,6 +223,49 @@ class FGMRES(Solver):
         return y, abs(float(g[k]))
 
 
+class BasisFirstGMRES(FGMRES):
+    """GMRES over the powers of A M on the residual, all made before they are made
+    orthogonal (by modified Gram-Schmidt, with the triangle kept): max_iter products
+    in a row, one update, and no test in between, so it never reports convergence."""
+
+    def iterate(self, x, r, norm, done):
+        s = self.space
+        if norm == 0:
+            return x, SolveResult(False, 0, 0.0)
+        powers, directions, sizes = [(1.0 / norm) * r], [], []
+        for _ in range(self.max_iter):
+            z = self.precondition(powers[-1])
+            w = s.apply(z)
+            size = math.sqrt(s.dots((w, w))[0])
+            if size <= 1e-300:
+                break
+            directions.append(z)
+            sizes.append(size)
+            powers.append((1.0 / size) * w)
+            kept = s.settle(x, *powers, *directions)
+            x, powers, directions = kept[0], kept[1 : 1 + len(powers)], kept[1 + len(powers) :]
+        k = len(directions)
+        # powers = basis times triangle
+        basis, triangle = [], np.zeros((k + 1, k + 1))
+        for j, v in enumerate(powers):
+            for i, q in enumerate(basis):
+                triangle[i, j] = s.dots((q, v))[0]
+                v = v - float(triangle[i, j]) * q
+            triangle[j, j] = size = math.sqrt(s.dots((v, v))[0])
+            if size <= 1e-14:
+                k = j
+                break
+            basis.append((1.0 / size) * v)
+            x, *basis = s.settle(x, *basis)
+        # A M powers[j] = sizes[j] * powers[j + 1]: the Hessenberg matrix of the directions
+        g = np.zeros(len(triangle))
+        g[0] = norm
+        y = np.linalg.lstsq(triangle[:, 1 : k + 1] * np.array(sizes[:k]), g, rcond=None)[0] if k else []
+        for f, z in zip(y, directions):
+            x = x + float(f) * z
+        return s.settle(x)[0], SolveResult(False, k, norm)
+
+
 class Richardson(Solver):
     """x += omega M r, max_iter times; solve() tests before each update."""
 

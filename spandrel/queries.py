@@ -499,6 +499,12 @@ def color_greedy(spark, d):
     return G.colored(G.symmetrized(G.graph(Z.hpcg(spark, 4))), "greedy")
 
 
+@query(_FIRST_FIT)
+def color_greedy_rounds(spark, d):
+    """The colouring in rounds that graphs beyond one task get: the same one."""
+    return G.colored(G.symmetrized(G.graph(Z.hpcg(spark, 4))), "greedy", most=0)
+
+
 def _proper(spark: SparkSession, colors: DataFrame, n: int) -> DataFrame:
     """(nodes, uncolored, conflicts) of a colouring of the n x n x n stencil."""
     a, b = (colors.select(F.col("idx").alias(x), F.col("color").alias(y)) for x, y in (("row", "p"), ("col", "q")))
@@ -675,18 +681,25 @@ def spai0(spark, d):
     return P.spai0(gram_matrix(spark, d))(ones_up(spark, d)).select("idx", F.round(F.col("val") * 1e6, 6).alias("val"))
 
 
-@query("SELECT 343::BIGINT AS points, 0::BIGINT AS bad_rows, 0::BIGINT AS lone_fine")
-def rs_interpolation(spark, d):
+def _interpolated(choose: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     """Interior rows of the stencil sum to zero, so constants must be interpolated
     exactly there; every fine point depends on a coarse one."""
-    a = Z.hpcg(spark, 7)
-    domain = spark.range(343).withColumnRenamed("id", "idx")
-    points = written(A.coarse_points(X.strong_weak(a).where("strong"), domain))
-    p = A.interpolation(a, points)
-    inside = spark.range(343).where("id % 7 between 1 and 5 and id div 7 % 7 between 1 and 5 and id div 49 between 1 and 5").withColumnRenamed("id", "row")
-    sums = p.groupBy("row").agg(F.sum("val").alias("s")).join(inside, "row").agg(F.count(F.when(F.abs(F.col("s") - 1) > 0.05, 1)).alias("bad_rows"))
-    lone = points.where("not coarse").join(p.select(F.col("row").alias("idx")).distinct(), "idx", "left_anti").agg(F.count(F.lit(1)).alias("lone_fine"))
-    return points.agg(F.count(F.lit(1)).alias("points")).join(sums, F.lit(True)).join(lone, F.lit(True))
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        a = Z.hpcg(spark, 7)
+        domain = spark.range(343).withColumnRenamed("id", "idx")
+        points = written(choose(X.strong_weak(a).where("strong"), domain))
+        p = A.interpolation(a, points)
+        inside = spark.range(343).where("id % 7 between 1 and 5 and id div 7 % 7 between 1 and 5 and id div 49 between 1 and 5").withColumnRenamed("id", "row")
+        sums = p.groupBy("row").agg(F.sum("val").alias("s")).join(inside, "row").agg(F.count(F.when(F.abs(F.col("s") - 1) > 0.05, 1)).alias("bad_rows"))
+        lone = points.where("not coarse").join(p.select(F.col("row").alias("idx")).distinct(), "idx", "left_anti").agg(F.count(F.lit(1)).alias("lone_fine"))
+        return points.agg(F.count(F.lit(1)).alias("points")).join(sums, F.lit(True)).join(lone, F.lit(True))
+
+    return run
+
+
+for _name, _choose in {"rs_interpolation": A.coarse_points, "rs_interpolation_parallel": A.coarse_points_parallel}.items():
+    _QUERIES[_name], _SQL[_name] = _interpolated(_choose), "SELECT 343::BIGINT AS points, 0::BIGINT AS bad_rows, 0::BIGINT AS lone_fine"
 
 
 # ---- solvers: A x is b
@@ -817,7 +830,8 @@ def _first_steps(make: Callable[[FrameSpace], object]) -> Query:
 for _name, (_make, _sql) in {
     "cg_steps": (lambda s: K.CG(s, None, 3), _steps_cg(3)), "cr_steps": (lambda s: K.CR(s, None, 3), _steps_cr(3)),
     "bicgstab_steps": (lambda s: K.BiCGStab(s, None, 2), _steps_bicgstab(2)), "gcr_steps": (lambda s: K.GCR(s, None, 2), _steps_gcr()),
-    "fgmres_steps": (lambda s: K.FGMRES(s, None, 2), _steps_gcr()), "richardson_steps": (lambda s: K.Richardson(s, None, 3, 0.42), _steps_richardson(3, "max(0.42::DOUBLE)")),
+    "fgmres_steps": (lambda s: K.FGMRES(s, None, 2), _steps_gcr()), "sgmres_steps": (lambda s: K.BasisFirstGMRES(s, None, 2), _steps_gcr()),
+    "richardson_steps": (lambda s: K.Richardson(s, None, 3, 0.42), _steps_richardson(3, "max(0.42::DOUBLE)")),
     "auto_richardson_steps": (lambda s: K.AdaptiveRichardson(s, None, 3, 1), _steps_richardson(3, "sum(q * r) / sum(q * q)")),
 }.items():
     _QUERIES[_name], _SQL[_name] = _first_steps(_make), _sql
@@ -837,6 +851,14 @@ def block_ilu_cg(spark, d):
     return _solved(spark, lambda s: K.CG(s, _through(s, m), 60), a, Z.iota(spark, 216, 1))
 
 
+@query("SELECT range AS idx, (range + 1)::DOUBLE AS val, true AS solved FROM range(125)")
+def block_ilu_jacobi_cg(spark, d):
+    """Block factors solved by Jacobi sweeps instead of substitution."""
+    a = written(X.scaled_symmetric(Z.hpcg(spark, 5)))
+    m = P.preconditioner("ilu", a, 125, blocks=4, triangular=P.jacobi_sweeps(3))
+    return _solved(spark, lambda s: K.FGMRES(s, _through(s, m), 30), a, Z.iota(spark, 125, 1))
+
+
 # ---- nested pipelines, one task a system
 
 

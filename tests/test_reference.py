@@ -15,7 +15,7 @@ from spandrel.operators import formats as T
 from spandrel.operators import kernels as K
 from spandrel.operators import spmat as S
 from spandrel.operators import structure as X
-from spandrel.plans import amg, krylov, nested, report
+from spandrel.plans import amg, krylov, nested, precond, report
 from spandrel.plans.spaces import FrameSpace, LocalSpace
 from spandrel.session import ranked, shared_folder
 from spandrel.sources import matrix_market as M
@@ -23,7 +23,7 @@ from spandrel.sources import stencils as Z
 
 SF = "/root/testdata/sf0.001"
 #: Queries that take long through many small jobs; the driver's comparison runs them too.
-FAST = [n for n in Q.oracle_sql() if n not in ("cr", "gcr", "bicgstab", "fgmres", "fgmres_restarted", "richardson", "auto_richardson", "amg_vcycle", "block_ilu_cg", "color_parallel", "trsv_jacobi_sell", "trsv_jacobi_sell_upper")]
+FAST = [n for n in Q.oracle_sql() if n not in ("cr", "gcr", "bicgstab", "fgmres", "fgmres_restarted", "richardson", "auto_richardson", "amg_vcycle", "block_ilu_cg", "color_parallel", "color_greedy_rounds", "block_ilu_jacobi_cg", "sgmres_steps", "rs_interpolation_parallel", "trsv_jacobi_sell", "trsv_jacobi_sell_upper")]
 
 
 @pytest.fixture(scope="module")
@@ -49,13 +49,21 @@ def test_query_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
 
 
-def test_coarse_points_refuse_large_patterns(spark):
-    strong = Z.hpcg(spark, 3).where("row <> col")
-    domain = spark.range(27).withColumnRenamed("id", "idx")
-    size = strong.count() + 27
-    assert amg.coarse_points(strong, domain, size).count() == 27
-    with pytest.raises(Exception, match=f"{size} strong entries and points"):
-        amg.coarse_points(strong, domain, size - 1).collect()
+def test_coarse_points_of_large_patterns(spark):
+    """Beyond the bound the choice is made in rounds: coarse points do not depend on each
+    other unless the last pass added one, every fine point with a strong neighbour has a
+    coarse one or is one on which nothing depends."""
+    rng = np.random.default_rng(5)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (200, 2)) if a != b})
+    strong = spark.createDataFrame(edges, "row long, col long")
+    domain = spark.range(64).withColumnRenamed("id", "idx")
+    assert amg.coarse_points(strong, domain, len(edges) + 64).where("coarse").count() == len(K.coarse_points(K.adjacency([], [], range(64)) | {n: {b for a, b in edges if a == n} for n in range(64)}))
+    got = {r.idx: r.coarse for r in amg.coarse_points(strong, domain, 0).collect()}
+    coarse, depended = {i for i, c in got.items() if c}, {b for _, b in edges}
+    of = {n: {b for a, b in edges if a == n} for n in range(64)}
+    assert got.keys() == set(range(64)) and coarse
+    assert all(n in coarse or not of[n] or of[n] & coarse or n not in depended for n in range(64))
+    assert not any(n not in coarse and m not in coarse and m > n and not of[n] & of[m] & coarse for n in of for m in of[n])
 
 
 def test_graph_takes_every_part(spark):
@@ -379,6 +387,29 @@ def test_nested(method, precision):
         assert r.iters <= 3 and calls == 64
 
 
+def test_basis_first_gmres():
+    row, col, val = stencil(4, 0.5)
+    s = LocalSpace(row, col, nested.symmetric_scaling(row, col, val, 64), 64)
+    b = np.arange(64) + 1.0
+    for m in (None, lambda v: 0.9 * v):
+        for steps in (1, 2, 5):
+            x, r = krylov.BasisFirstGMRES(s, m, steps).solve(b)
+            assert not r.solved and np.allclose(x, krylov.FGMRES(s, m, steps).solve(b)[0], atol=1e-6)
+    x, _ = krylov.BasisFirstGMRES(LocalSpace(np.arange(3), np.arange(3), np.ones(3), 3), None, 5).solve(np.ones(3))
+    assert np.allclose(x, 1)
+
+
+def test_pluggable_multigrid(spark):
+    seen = []
+
+    def pack(k):
+        return lambda a: seen.append(k) or precond.smoother(a, precond.spai0(a), 1)
+
+    a = Z.hpcg(spark, 5)
+    m = amg.AMG(a, spark.range(125).withColumnRenamed("id", "idx"), coarsest=lambda level, n: n <= 4, smoothers=[pack(0), pack(1)], coarsen=amg.coarse_points_parallel)
+    assert seen == [k % 2 for k in range(len(m.levels))] and len(seen) >= 2 and len(m.idx) <= 4
+
+
 def test_richardson_and_restarts():
     row, col, val = stencil(3)
     s = LocalSpace(row, col, nested.symmetric_scaling(row, col, val, 27), 27)

@@ -5,10 +5,10 @@ pages that contain it, divided by the host's pages; lines above a ratio are
 boilerplate and leave every page of that host.  A line on one page only repeats
 nothing and is never boilerplate, however few pages the host has.
 
-At scale: the lines of all pages are written once to the shared folder, and
-counted by (host, line) with map-side sums, once per page.
-What comes back is small: a host has at most (lines of a page) / ratio
-boilerplate lines.  They return to the pages by (host, salt), so that one host
+At scale: the lines of all pages are written once to the shared folder.  They are
+counted by host and a mark of 128 bits, once per page, with map-side sums, so the
+count moves no text.  What comes back is small: a host has at most (lines of a
+page) / ratio boilerplate lines.  They return to the pages by (host, salt), so that one host
 with a third of all pages is spread over SALTS groups.
 """
 
@@ -48,6 +48,12 @@ def plain_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, TRIM, "")), lambda x: x != "")
 
 
+def mark_of(line: Column) -> Column:
+    """128 bits that stand for a line: two hashes of different seeds.  Lines of equal
+    marks count as equal."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def line_dedup(pages: DataFrame, id_col: str = "page_id", host: Column | None = None, lines: Column | None = None, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, kept_text) of every row: a line goes if at
     least ``least`` pages, and more than ``ratio`` of the pages, of its host have it.
@@ -61,15 +67,16 @@ def line_dedup(pages: DataFrame, id_col: str = "page_id", host: Column | None =
     lines = visible_lines(F.col("html")) if lines is None else lines
     # read twice below: a page's markup is taken apart once
     cells = written(pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), lines.alias("lines")))
-    counts = cells.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    marks = cells.select("host", F.explode(F.array_distinct(F.transform("lines", mark_of))).alias("mark"))
+    counts = marks.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"))
     totals = cells.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = counts.where(F.col("n") >= least).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
-    drop = common.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
+    drop = common.groupBy("host").agg(F.collect_set("mark").alias("boilerplate"))
     # every page has one salt; the few boilerplate lines of a host go to all salts
     drop = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = cells.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int"))
     joined = salted.join(drop, ["host", "salt"], "left")
-    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", x)))
+    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boilerplate", mark_of(x))))
     return joined.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
         "page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")
     )

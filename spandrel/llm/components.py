@@ -17,13 +17,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest node
     that is reachable.  Loops and repeated edges do no harm."""
     rows = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    mark = _mark(rows)
     for _ in range(most_rounds):
-        large = _large_star(rows)
-        small = cut(_small_star(large))
+        rows = cut(_small_star(_large_star(rows)))
         # a fixed point is a forest of stars: same rows as before
-        changed = small.join(rows, ["u", "v"], "left_anti").limit(1).count() + rows.join(small, ["u", "v"], "left_anti").limit(1).count()
-        rows = small
-        if not changed:
+        before, mark = mark, _mark(rows)
+        if mark == before:
             break
     else:
         raise RuntimeError("components did not converge")
@@ -31,6 +30,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.unionByName(rows.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _mark(rows: DataFrame) -> tuple:
+    """Number and 128 bits of hashes of a set of rows: equal for equal sets, and for
+    others with probability 2^-128."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "u", "v"))).first())
+
+
 def _large_star(rows: DataFrame) -> DataFrame:
     """Every node's larger neighbours are hooked to its smallest neighbour or itself."""
     both = rows.select("u", "v").union(rows.select(F.col("v"), F.col("u")))

@@ -244,7 +244,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
-    """(doc_id, text) of encoded rows; null pieces give a null text."""
+    """(doc_id, text) of encoded rows.
+
+    Null pieces give a null text, an empty list the empty text.  Pieces that are no
+    valid UTF-8 together give replacement characters.  Repeated rows and null ids
+    are decoded like any other row; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)

@@ -116,8 +116,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, sha, spans = {k: [] for k in KINDS[:3]}, [], []
-            for text in batch.column("text"):
-                found = scan(text.as_py() or "")
+            for text in batch.column("text").to_pylist():
+                found = scan(text or "")
                 base = [x for x in found if x[1] in counts]
                 for k in counts:
                     counts[k].append(sum(x[1] == k for x in base))

@@ -210,7 +210,10 @@ def links(fps: np.ndarray, group: np.ndarray, side: np.ndarray | None = None, ra
         v = planes(fps[a : a + m])
         lane = np.arange(m)
         for q in range(m):
-            want = lane < q
+            of = forest.roots(a + lane)
+            want = (lane < q) & (of != of[q])  # what is linked already is not compared
+            if not want.any():
+                continue
             if side is not None and side[a] != side[a + m - 1]:
                 want &= side[a : a + m] != side[a + q]
             padded = np.zeros(v.shape[1] * 64, np.uint8)

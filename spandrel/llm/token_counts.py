@@ -200,7 +200,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 def truncated(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): every text cut to its longest prefix of at most ``limit``
-    tokens, as the prefix counts have it; null stays null."""
+    tokens, as the prefix counts have it.
+
+    A null text stays null, an empty one empty.  Long texts are read whole.
+    Repeated rows and null ids are cut like any other row; an empty table gives no
+    rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_to = counter(path).truncate

@@ -348,6 +348,35 @@ def test_frequent_words_survive_forgetting(monkeypatch):
     assert len(c.known) < 200 and "same" in c.known
 
 
+def test_decode_and_truncate_odd_rows(spark, odd, empty):
+    encoded = spark.createDataFrame([(1, None), (2, []), (None, [5, 6]), (2, [])], "doc_id long, pieces array<int>")
+    c = PieceCoder(PIECES)
+    assert sorted(map(tuple, decode(encoded, PIECES).collect()), key=str) == sorted([(1, None), (2, ""), (2, ""), (None, c.decode([5, 6]))], key=str)
+    assert decode(encoded.where("false"), PIECES).collect() == [] and truncated(empty, BPE).collect() == []
+    rows = truncated(odd, BPE, 3).collect()
+    assert len(rows) == odd.count() and {r.text for r in rows if r.doc_id == 1} == {None} and {r.text for r in rows if r.doc_id == 2} == {""}
+
+
+def test_very_long_texts(make):
+    """Megabytes of text, and words of hundreds of kilobytes, in every pass that reads texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    words = [f"{rng.choice(['alpha', 'Beta', 'é', 'x'])}{rng.randint(0, 9999)}" for _ in range(250_000)]
+    prose, solid = " ".join(words), "".join(rng.choice("abcdefghij") for _ in range(300_000))
+    docs = make((1, prose), (2, " ".join(words[1000:50_000])), (3, solid), (4, "a"))
+    t, m = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {1: prose, 2: " ".join(words[1000:50_000]), 3: solid, 4: "a"}
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, BPE).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
+    assert {r.doc_id: (r.n_pieces, r.round_trip) for r in encode(docs, PIECES).collect()} == {i: (len(m.encode(x)), True) for i, x in texts.items()}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(docs).collect()}
+    assert got == {1: (250_000, 0), 2: (49_000, 49_000), 3: (1, 0), 4: (1, 0)}
+    rows = {r.doc_id: r for r in quality_rules(docs, train_quality(docs.where("false"), docs.selectExpr("doc_id", "1 quality"))).collect()}
+    assert rows[1].n_words == 250_000 and rows[3].word_chars == 300_000
+    assert len(language_id(docs, train_language(make(*[(i, "alpha beta", "en") for i in range(30)]))).collect()) == 4
+
+
 # secrets
 
 

@@ -3,8 +3,8 @@
 solve(b, x) starts from x (zero if None), keeps a guess that already passes, and
 returns x and a SolveResult; done(iteration, norm of the residual) is the stop
 test.  operate(v) runs the same recurrence from zero without a test, so that a
-solver can precondition another one.  m is a function of vectors (the identity
-if None).
+solver can precondition another one.  m is a function of vectors, or anything with
+operate (the identity if None).
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ class Solver:
     max_iter: int = 100
     history: list[tuple[int, float]] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.m = getattr(self.m, "operate", self.m)
+
     def precondition(self, v):
         return v if self.m is None else self.m(v)
 

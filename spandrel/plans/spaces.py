@@ -17,6 +17,7 @@ system) and for coarse levels.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,31 @@ from ..operators.spmat import spmv
 from ..session import bucketed, removed, written_at
 
 
+class Operator(Protocol):
+    """Anything that maps vectors to vectors of the same space."""
+
+    def operate(self, v): ...
+
+
+class CoefficientMatrix(Operator, Protocol):
+    """An operator that also gives residuals."""
+
+    def residual(self, b, x): ...
+
+
+class Coefficients:
+    """The matrix of a space as an operator, whatever the space and its precision."""
+
+    def __init__(self, space: FrameSpace | LocalSpace):
+        self.space = space
+
+    def operate(self, v):
+        return self.space.apply(v)
+
+    def residual(self, b, x):
+        return b - self.space.apply(x)
+
+
 class FrameVector:
     """A column expression over the columns of its space's frame."""
 

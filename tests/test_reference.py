@@ -16,7 +16,7 @@ from spandrel.operators import kernels as K
 from spandrel.operators import spmat as S
 from spandrel.operators import structure as X
 from spandrel.plans import amg, krylov, nested, precond, report
-from spandrel.plans.spaces import FrameSpace, LocalSpace
+from spandrel.plans.spaces import Coefficients, FrameSpace, LocalSpace
 from spandrel.session import ranked, shared_folder
 from spandrel.sources import matrix_market as M
 from spandrel.sources import stencils as Z
@@ -387,6 +387,18 @@ def test_nested(method, precision):
         assert r.iters <= 3 and calls == 64
 
 
+def test_anything_with_operate_is_a_preconditioner():
+    row, col, val = stencil(3)
+    s = LocalSpace(row, col, val, 27)
+    b = np.arange(27) + 1.0
+    inner = krylov.CG(s, None, 2)
+    x, r = krylov.FGMRES(s, inner, 30).solve(b, None, krylov.relative(np.linalg.norm(b)))
+    y, q = krylov.FGMRES(s, inner.operate, 30).solve(b, None, krylov.relative(np.linalg.norm(b)))
+    a = Coefficients(s)
+    assert r.solved and r.iters == q.iters and (x == y).all() and np.linalg.norm(a.residual(b, x)) < 1e-7 * np.linalg.norm(b)
+    assert np.allclose(a.operate(x), b, atol=1e-5)
+
+
 def test_basis_first_gmres():
     row, col, val = stencil(4, 0.5)
     s = LocalSpace(row, col, nested.symmetric_scaling(row, col, val, 64), 64)

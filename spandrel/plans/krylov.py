@@ -250,7 +250,8 @@ class BasisFirstGMRES(FGMRES):
         k = len(directions)
         # powers = basis times triangle
         basis, triangle = [], np.zeros((k + 1, k + 1))
-        for j, v in enumerate(powers):
+        for j in range(k + 1):
+            v = powers.pop(0)
             for i, q in enumerate(basis):
                 triangle[i, j] = s.dots((q, v))[0]
                 v = v - float(triangle[i, j]) * q
@@ -258,8 +259,8 @@ class BasisFirstGMRES(FGMRES):
             if size <= 1e-14:
                 k = j
                 break
-            basis.append((1.0 / size) * v)
-            x, *basis = s.settle(x, *basis)
+            kept = s.settle(x, *basis, (1.0 / size) * v, *powers, *directions)
+            x, basis, powers, directions = kept[0], kept[1 : j + 2], kept[j + 2 : j + 2 + len(powers)], kept[j + 2 + len(powers) :]
         # A M powers[j] = sizes[j] * powers[j + 1]: the Hessenberg matrix of the directions
         g = np.zeros(len(triangle))
         g[0] = norm

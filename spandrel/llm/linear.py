@@ -71,14 +71,15 @@ def sample(labelled: DataFrame, id_col: str, label_col: str, limit: int, most: i
     """Rows to train on: about ``limit`` a label, and ``most`` in all, chosen by a hash
     of the id whose range is fitted to the label's number of rows; the same on
     every run.  Every label has its share."""
-    counts = labelled.groupBy(label_col).count().collect()  # one row a label, fewer than the model has
+    counts = labelled.groupBy(label_col).count().collect()  # one row a label
     if not counts:
         return labelled.where(F.lit(False))
     each = max(1, min(limit, most // len(counts)))
+    # the broadcast has one row a label, fewer bytes than the model that goes to every task
     kind = labelled.schema[label_col].dataType.simpleString()
     shares = labelled.sparkSession.createDataFrame([(r[label_col], min(1.0, each / r["count"])) for r in counts], f"_label {kind}, _share double")
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(shares, F.col(label_col) == F.col("_label")).where(u < F.col("_share")).drop("_label", "_share")
+    return labelled.join(F.broadcast(shares), F.col(label_col) == F.col("_label")).where(u < F.col("_share")).drop("_label", "_share")
 
 
 def trainable(rows: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:

@@ -180,9 +180,21 @@ def dense_arith(spark, d):
     return out.select("idx", F.col("j").cast("int").alias("j"), "add", "sub", "scaled")
 
 
+@query("SELECT c_acctbal AS val, (SELECT embedding[4]::DOUBLE FROM embeddings WHERE vec_id = 7) AS cell FROM customer WHERE c_custkey = 7")
+def vec_element(spark, d):
+    """One element of a vector, and one of a dense matrix's column."""
+    cell = V.element(V.column(embedding_matrix(spark, d), 3), 7).select(F.col("val").alias("cell"))
+    return V.element(_numbers(spark, d), 7).select("val").join(cell, F.lit(True))
+
+
 # ---- generators
 
 
+@query("SELECT range AS idx, range + 0.5::DOUBLE AS up, 2.25::DOUBLE AS same FROM range(1000)")
+def fill_iota(spark, d):
+    return Z.iota(spark, 1000, 0.5).withColumnRenamed("val", "up").join(Z.filled(spark, 1000, 2.25).withColumnRenamed("val", "same"), "idx")
+
+
 def _sized(n: int, beta: float) -> Query:
     return lambda spark, d: Z.stencil27(spark, n, n, n, beta)
 
@@ -218,6 +230,17 @@ def mm_vector_roundtrip(spark, d):
     return M.read_vector(spark, path)
 
 
+@query(f"WITH {_G}, {_X} SELECT g.row, g.col, g.val, x.val AS rhs FROM g JOIN x ON g.row = x.idx")
+def mm_system(spark, d):
+    """A matrix file and the right-hand side beside it."""
+    path, b = _file(spark, "system.mtx"), ones_up(spark, d)
+    n = b.count()
+    M.write_matrix(gram_matrix(spark, d), MatrixMeta(n, n), path)
+    M.write_vector(b, n, path[: -len(".mtx")] + "_b.mtx")
+    a, _, rhs = M.read_system(spark, path, lambda n: Z.filled(spark, n, 0.0))
+    return a.join(rhs.select(F.col("idx").alias("row"), F.col("val").alias("rhs")), "row")
+
+
 @query(f"WITH {_G}, {_X} SELECT g.row, g.col, g.val, x.val AS rhs FROM g JOIN x ON g.row = x.idx")
 def index_pair_roundtrip(spark, d):
     path, b = _file(spark, "sys_00000001"), ones_up(spark, d)
@@ -321,6 +344,14 @@ def row_prefix_sum(spark, d):
     return T.row_pointers(order_supplier(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("idx")))
 
 
+@query(f"WITH {_P} SELECT 'rows' AS by, * FROM p UNION ALL SELECT 'columns', * FROM p")
+def csr_roundtrip(spark, d):
+    """Entries of compressed rows and of compressed columns."""
+    p = part_supplier(spark, d)
+    by = lambda name, c: T.entries_of(c).select(F.lit(name).alias("by"), "row", "col", "val")
+    return by("rows", T.csr(p)).unionByName(by("columns", T.csc(p)))
+
+
 @query(f"WITH {_P}, t AS (SELECT DISTINCT row // 4 AS brow, col // 2 AS bcol FROM p), c AS (SELECT brow, bcol, r, k FROM t, (SELECT range AS r FROM range(4)), (SELECT range AS k FROM range(2))) SELECT c.brow, c.bcol, list(coalesce(p.val, 0) ORDER BY k, r) AS vals FROM c LEFT JOIN p ON p.row = brow * 4 + r AND p.col = bcol * 2 + k GROUP BY ALL")
 def csr_to_bcsr(spark, d):
     return T.bcsr(part_supplier(spark, d), 4, 2)
@@ -404,6 +435,12 @@ def cast_sell(spark, d):
 # ---- structure
 
 
+@query(f"WITH {_G}, m AS (SELECT row, max(abs(val)) AS m FROM g WHERE row <> col GROUP BY row) SELECT count(*) FILTER (g.row <> g.col AND abs(g.val) >= 0.6 * m.m) AS strong, count(*) FILTER (NOT (g.row <> g.col AND abs(g.val) >= 0.6 * m.m)) AS weak FROM g JOIN m ON g.row = m.row")
+def strong_counts(spark, d):
+    g = X.strong_weak(gram_matrix(spark, d))
+    return g.agg(F.count_if("strong").alias("strong"), F.count_if(~F.col("strong")).alias("weak"))
+
+
 @query(f"WITH {_G} SELECT row, col, CASE WHEN row = col THEN 1 / val ELSE val END AS val FROM g WHERE col <= row")
 def invert_last(spark, d):
     return X.inverted_diagonal(gram_matrix(spark, d).where("col <= row"))
@@ -851,6 +888,14 @@ def block_ilu_cg(spark, d):
     return _solved(spark, lambda s: K.CG(s, _through(s, m), 60), a, Z.iota(spark, 216, 1))
 
 
+@query("SELECT range AS idx, (range + 1)::DOUBLE AS val, true AS solved FROM range(216)")
+def block_ilu_tiles_cg(spark, d):
+    """Factors on the pattern of 3 x 3 tiles, with their fill."""
+    a = written(X.scaled_symmetric(Z.hpcg(spark, 6)))
+    m = P.BlockILU(a, 216, 4, unit=3, tile=3)
+    return _solved(spark, lambda s: K.CG(s, _through(s, m), 60), a, Z.iota(spark, 216, 1))
+
+
 @query("SELECT range AS idx, (range + 1)::DOUBLE AS val, true AS solved FROM range(125)")
 def block_ilu_jacobi_cg(spark, d):
     """Block factors solved by Jacobi sweeps instead of substitution."""
@@ -1026,10 +1071,22 @@ r AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (ORDER BY line) AS r
 SELECT problem, run::BIGINT AS run, k::INTEGER AS step, CASE WHEN k = 0 THEN 1.0 ELSE 1.0 / k END::DOUBLE AS relres FROM r WHERE run > 0 AND k <> 1
 UNION ALL SELECT problem, run::BIGINT, 1, 1.0::DOUBLE FROM r WHERE run > 0 AND k = 1""")
 def report_log_parse(spark, d):
+    return R.parsed_log(_log_lines(spark, d), ["p"])
+
+
+def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A log of the events: every thirteenth opens a run, the others are its steps."""
     k = F.col("event_id") % 13
     value = F.when(k == 0, F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit(",F3R"))).otherwise(F.concat_ws(" ", k.cast("string"), (F.lit(1.0) / F.when(k == 0, 1).otherwise(k)).cast("string")))
-    lines = table(spark, d, "events").select(F.col("event_id").alias("line"), value.alias("value"))
-    return R.parsed_log(lines, ["p"])
+    return table(spark, d, "events").select(F.col("event_id").alias("line"), value.alias("value"))
+
+
+@query(_SQL["report_log_parse"])
+def report_log_file(spark, d):
+    """The same log, written to a file of several parts and read by position."""
+    path = _file(spark, "log.txt")
+    _log_lines(spark, d).repartitionByRange(3, "line").sortWithinPartitions("line").select("value").write.text(path)
+    return R.read_log(spark, path, ["p"])
 
 
 @query("SELECT problem, program, m2, m3, m4 FROM (VALUES ('a'), ('b')) p(problem), (VALUES ('f3r'), ('cg')) e(program), (VALUES (8, 4, 2), (10, 4, 2), (8, 3, 2)) g(m2, m3, m4)")

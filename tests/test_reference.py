@@ -5,6 +5,7 @@ from urllib.parse import urlparse
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from spandrel.operators import kernels as K
 from spandrel.operators import spmat as S
 from spandrel.operators import structure as X
 from spandrel.plans import amg, krylov, nested, precond, report
-from spandrel.plans.spaces import Coefficients, FrameSpace, LocalSpace
+from spandrel.plans.spaces import Coefficients, FrameSpace, GatheredSpace, LocalSpace, sized_space
 from spandrel.session import ranked, shared_folder
 from spandrel.sources import matrix_market as M
 from spandrel.sources import stencils as Z
@@ -246,6 +247,51 @@ def test_a_product_does_not_move_the_matrix(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_gathered_vectors_step_in_one_job(spark):
+    """A Richardson step of a space with vectors on the driver is one job, and gives what
+    a FrameSpace gives; entries outside the domain do not count."""
+    a = X.scaled_symmetric(Z.hpcg(spark, 5)).selectExpr("3 * row AS row", "3 * col AS col", "val")
+    a = a.unionByName(spark.createDataFrame([(1, 0, 5.0), (0, 1, 7.0), (999, 0, 2.0)], "row long, col long, val double"))
+    domain = spark.range(130).selectExpr("3 * id AS idx")
+    b = domain.selectExpr("idx", "cast(idx + 1 AS double) AS val").where("idx <> 6")
+    spaces = [sized_space(a, domain, 130), sized_space(a, domain, 129)]
+    assert [type(s) for s in spaces] == [GatheredSpace, FrameSpace]
+    found = []
+    for s, steps in zip(spaces, (30, 2)):
+        v = s.vector(b)
+        spark.sparkContext.setJobGroup("steps", "steps")
+        x = krylov.Richardson(s, None, steps, 0.42).solve(v, None, lambda k, norm: False)[0]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs <= steps or s is spaces[1]
+        x = krylov.Richardson(s, None, 2, 0.42).solve(v, None, lambda k, norm: False)[0] if s is spaces[0] else x
+        found.append({r.idx: r.val for r in s.frame_of(x).collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 130
+    assert all(np.isclose(found[0][i], found[1][i], rtol=1e-12, atol=1e-12) for i in found[0])
+
+
+def test_packed_rows(spark):
+    """Long rows come in several runs, rows without entries are zero."""
+    rng = np.random.default_rng(9)
+    idx = np.sort(rng.choice(10_000, 300, replace=False))
+    dense = rng.normal(size=(300, 300)) * (rng.random((300, 300)) < rng.random((300, 1)))
+    dense[[0, 17]] = 0
+    i, j = np.nonzero(dense)
+    a = spark.createDataFrame(pa.table({"row": idx[i], "col": idx[j], "val": dense[i, j]}))
+    x = rng.normal(size=300)
+    for run in (1, 7, 512):
+        assert np.allclose(S.Packed(a, idx, run)(x), dense @ x)
+
+
+def test_three_decimals_of_large_values(spark):
+    """1e-7 of the norm of b is more than half a unit of the third decimal here."""
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 0, 0.5), (1, 1, 1.0)], "row long, col long, val double")
+    b = spark.createDataFrame([(0, 40000.0), (1, 70000.0)], "idx long, val double")
+    for space in (GatheredSpace, FrameSpace):
+        got = Q._solved(spark, lambda s: krylov.Richardson(s, None, 80, 0.9), a, b, space=space, least=Q._THREE_DECIMALS)
+        assert sorted(map(tuple, got.collect())) == [(0, 40000.0, True), (1, 70000.0, True)]
+
+
 def test_records():
     m = MatrixMeta(10, 10, sets=((0, 0, 4), (1, 4, 10)))
     assert m.reversed().sets == ((0, 0, 6), (1, 6, 10)) and m.changed(pattern="colored").is_colored

@@ -1,6 +1,7 @@
 """Registered queries against their SQL in DuckDB, and the kernels against numpy."""
 
 import os
+import time
 from urllib.parse import urlparse
 
 import duckdb
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import spandrel.queries as Q
 from spandrel.functions import vec as V
 from spandrel.meta import MatrixMeta, SolveResult
+from spandrel.operators import blocks as B
 from spandrel.operators import formats as T
 from spandrel.operators import kernels as K
 from spandrel.operators import spmat as S
@@ -337,6 +339,86 @@ def test_factors_and_solves():
         K.ilu({0: {1: 1.0}, 1: {0: 1.0}})
 
 
+def test_inverse_of_a_large_dense_block():
+    """The sizes of the suppliers of sf0.1; entry by entry this takes hours if fill is
+    followed, as every index has all others as neighbours."""
+    rng = np.random.default_rng(3)
+    dense = 0.003 + 0.002 * rng.random((700, 700)) + np.eye(700)
+    i, j = np.nonzero(dense)
+    began = time.perf_counter()
+    nodes, z, w, d = K.whole_inverse(i, j, dense[i, j], follow_fill=True)
+    assert time.perf_counter() - began < 20 and len(nodes) == 700
+    assert np.allclose((z.T / d) @ w @ dense, np.eye(700), atol=1e-10)
+    small, rows = dense[:70, :70], K.rows_of(*np.nonzero(np.ones((70, 70))), dense[:70, :70].ravel())
+    began = time.perf_counter()
+    assert all(len(x) == 70 for x in K.approximate_inverse(rows, 1e-9, 1.0, True))
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("follow", [False, True])
+def test_whole_inverse_is_the_one_by_entries(follow):
+    rng = np.random.default_rng(4)
+    for t in range(60):
+        n = int(rng.integers(1, 30))
+        dense, rows = random_rows(rng, n, 0.15)
+        if t % 3 == 0:
+            dense = dense + dense.T
+        if t % 4 == 0 and n > 3:
+            dense[2, 2] = 0
+        i, j = np.nonzero(dense)
+        rows = K.rows_of((3 * i).tolist(), (3 * j).tolist(), dense[i, j].tolist())
+        z, w, d = K.approximate_inverse(rows, 0.0, 1.5, follow)
+        nodes, zs, ws, ds = K.whole_inverse(3 * i, 3 * j, dense[i, j], 1.5, follow, 4)
+        assert nodes.tolist() == sorted(rows)
+        for k, node in enumerate(nodes.tolist()):
+            for one, many in ((z[node], zs[k]), (w[node], ws[k])):
+                want = np.zeros(len(nodes))
+                want[np.searchsorted(nodes, list(one))] = list(one.values())
+                assert np.allclose(want, many, atol=1e-9 * max(1, abs(want).max()))
+            assert np.isclose(d[node], ds[k])
+
+
+def test_inverse_by_connected_parts(spark):
+    """Parts of two blocks, interleaved, with a lone index: as each block by itself, and
+    the same by entries (tol > 0) and dense (tol = 0)."""
+    rng = np.random.default_rng(8)
+    dense = np.zeros((24, 24))
+    for part in ([0, 3, 5, 9], [1, 2, 11], [4, 6, 7, 8, 10], [12, 20, 23, 14], [13, 15, 16, 17, 18, 19, 21]):
+        dense[np.ix_(part, part)] = rng.normal(size=(len(part), len(part))) * (rng.random((len(part), len(part))) < 0.8)
+    dense += 6 * np.eye(24)
+    i, j = np.nonzero(dense)
+    a = X.block_diagonal(spark.createDataFrame(pa.table({"row": i, "col": j, "val": dense[i, j]})), 24, 2)
+    parts = {r.idx: r.part for r in B.connected_parts(a, 5).collect()}
+    for x in range(24):
+        linked = {x}
+        while (more := linked | {int(m) for k in linked for m in np.flatnonzero((dense[k] != 0) | (dense[:, k] != 0))}) != linked:
+            linked = more
+        assert parts.get(x, x) == min(linked)
+    for tol in (0.0, 0.05):
+        for follow in (False, True):
+            got = {(r.factor, r.row, r.col): r.val for r in B.approximate_inverse(a, tol, 1.0, follow).collect()}
+            want = {}
+            for lo in (0, 12):
+                r, c = np.nonzero(dense[lo : lo + 12, lo : lo + 12])
+                z, w, d = K.approximate_inverse(K.rows_of((r + lo).tolist(), (c + lo).tolist(), dense[r + lo, c + lo].tolist()), tol, 1.0, follow)
+                want |= {("z", k, n): v / d[n] for n in z for k, v in z[n].items()} | {("w", n, k): v for n in w for k, v in w[n].items()}
+            assert all(np.isclose(got.get(k, 0.0), want.get(k, 0.0), atol=1e-12) for k in got.keys() | want.keys())
+
+
+def test_inverse_with_missing_pairs_is_corrected(spark):
+    """The inverse that does not follow fill is not exact here; its query's steps are."""
+    rng = np.random.default_rng(2)
+    dense = 0.02 * rng.random((60, 60)) * (rng.random((60, 60)) < 0.5)
+    dense = dense + dense.T + np.eye(60)
+    i, j = np.nonzero(dense)
+    a = spark.createDataFrame(pa.table({"row": i, "col": j, "val": dense[i, j]}))
+    m = precond.ApproximateInverse(a, 60, 1, 0.0)
+    b = Z.iota(spark, 60, 1)
+    once = {r.idx: r.val for r in S.spmv(a, m(b)).collect()}
+    assert any(round(once[k], 4) != k + 1 for k in range(60))
+    assert sorted(map(tuple, Q._by_inverse(spark, m, a, b).collect())) == [(k, k + 1.0) for k in range(60)]
+
+
 def test_tiles_solve_like_rows():
     rng = np.random.default_rng(6)
     for n, lo, h, w in ((1, 0, 4, 2), (10, 0, 4, 2), (24, 8, 4, 4), (23, 0, 2, 8), (16, 0, 8, 1)):

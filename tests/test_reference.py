@@ -16,6 +16,7 @@ from spandrel.meta import MatrixMeta, SolveResult
 from spandrel.operators import blocks as B
 from spandrel.operators import formats as T
 from spandrel.operators import kernels as K
+from spandrel.operators import parts as GP
 from spandrel.operators import spmat as S
 from spandrel.operators import structure as X
 from spandrel.plans import amg, krylov, nested, precond, report
@@ -419,6 +420,68 @@ def test_inverse_with_missing_pairs_is_corrected(spark):
     assert sorted(map(tuple, Q._by_inverse(spark, m, a, b).collect())) == [(k, k + 1.0) for k in range(60)]
 
 
+def test_gram_by_connected_parts(spark):
+    """Entries that repeat, nulls, columns outside the domain, indices without entries and
+    pieces of a few products: every part's matrix is whole, and worked on once."""
+    rng = np.random.default_rng(12)
+    idx, rows, cols = np.sort(rng.choice(500, 40, replace=False)), [], []
+    for k, own in enumerate(np.array_split(rng.permutation(37), [1, 3, 10, 22])):  # places 37, 38 and 39 have no entry
+        for r in range(12):
+            for c in rng.choice(own, min(len(own), 1 + r % 5)).tolist():
+                rows.append(100 * k + r)
+                cols.append(int(idx[c]))
+    outside = next(x for x in range(500) if x not in idx)
+    vals = rng.integers(-3, 9, len(rows)).astype(float)
+    dense = np.zeros((1000, 40))
+    np.add.at(dense, (rows, np.searchsorted(idx, cols)), vals)
+    gram, n = dense.T @ dense, 40
+    linked = np.linalg.matrix_power((abs(dense).T @ abs(dense) + np.eye(n) > 0).astype(float), 40) > 0
+    entries = [*zip(rows, cols, vals.tolist()), (0, outside, 5.0), (1, outside, 5.0), (3, None, 2.0), (None, int(idx[0]), 4.0), (None, int(idx[5]), 4.0), (2, int(idx[38]), None)]
+    b = spark.createDataFrame(entries, "row long, col long, val double")
+
+    def work(at, row, col, val):
+        assert (np.diff(at) > 0).all() and len(set(zip(row.tolist(), col.tolist()))) == len(row)
+        return np.bincount(row, val * (at[col] + 1), len(at)) + 1e6 * len(at)
+
+    for sizes in ({}, {"piece": 3, "fold": 4}):
+        got = sorted(map(tuple, GP.per_gram_part(b, idx, work, **sizes).collect()))
+        assert got == list(zip(idx.tolist(), (gram @ np.arange(1.0, 41) + 1e6 * linked.sum(1)).tolist()))
+    none = b.where("row < 0")
+    assert sorted(map(tuple, GP.per_gram_part(none, idx, work).collect())) == [(k, 1e6) for k in idx.tolist()]
+    assert GP.per_gram_part(b, idx[:0], work).count() == 0
+
+
+def test_parts_go_to_tasks_by_work():
+    part = np.repeat([0, 5, 9, 12, 14], [5, 4, 3, 2, 1])
+    share = GP._shares(part, 3)
+    assert all(len(set(share[part == p])) == 1 for p in part) and set(share) == {0, 1, 2}
+    assert len(set(GP._shares(np.repeat(np.arange(6) * 1000, 1000), 6))) == 6
+
+
+def test_product_by_inverse_is_exact():
+    rng = np.random.default_rng(2)
+    dense = 0.02 * rng.random((60, 60)) * (rng.random((60, 60)) < 0.5)
+    dense = (dense + dense.T + np.eye(60)) * 7
+    i, j = np.nonzero(dense)
+    b = np.arange(1.0, 61)
+    for follow in (False, True):
+        assert (precond.product_by_inverse(i, j, dense[i, j], b, 1e-7, 4e-5, follow).round(4) == b).all()
+    nothing = np.zeros(0, int)
+    assert (precond.product_by_inverse(nothing, nothing, np.zeros(0), np.zeros(2), 1e-7, 4e-5) == 0).all()
+    with pytest.raises(ValueError, match="converge"):
+        precond.product_by_inverse(nothing, nothing, np.zeros(0), np.ones(1), 1e-7, 4e-5)
+
+
+@pytest.mark.parametrize("name", ["sdainv_apply", "ainv_apply"])
+def test_inverse_is_applied_in_few_jobs(spark, name):
+    """However many steps there are: a job a step and product took most of the time."""
+    spark.sparkContext.setJobGroup(name, name)
+    got = sorted(map(tuple, Q.queries()[name](spark, SF.replace("0.001", "0.01")).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [(k, k + 1.0) for k in range(100)] and jobs <= 16
+
+
 def test_tiles_solve_like_rows():
     rng = np.random.default_rng(6)
     for n, lo, h, w in ((1, 0, 4, 2), (10, 0, 4, 2), (24, 8, 4, 4), (23, 0, 2, 8), (16, 0, 8, 1)):

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import spandrel.queries as Q
@@ -21,7 +22,7 @@ from spandrel.operators import spmat as S
 from spandrel.operators import structure as X
 from spandrel.plans import amg, krylov, nested, precond, report
 from spandrel.plans.spaces import Coefficients, FrameSpace, GatheredSpace, LocalSpace, sized_space
-from spandrel.session import ranked, shared_folder
+from spandrel.session import ranked, shared_folder, written
 from spandrel.sources import matrix_market as M
 from spandrel.sources import stencils as Z
 
@@ -472,6 +473,61 @@ def test_product_by_inverse_is_exact():
         precond.product_by_inverse(nothing, nothing, np.zeros(0), np.ones(1), 1e-7, 4e-5)
 
 
+def test_few_shuffle_partitions_do_not_enlarge_tasks(spark, monkeypatch):
+    """Twelve parts under one shuffle partition: they were packed and inverted in one task."""
+    monkeypatch.setattr(GP, "ENTRIES", 40)
+    monkeypatch.setattr(GP, "CELLS", 9)
+    monkeypatch.setattr(GP, "written", lambda df: packed.append(written(df)) or packed[-1])
+    packed, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    b = spark.createDataFrame([(10 * k + r, 3 * k + c, 1.0) for k in range(12) for r in range(4) for c in range(3)], "row long, col long, val double")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = GP.per_gram_part(b, np.arange(36), lambda at, row, col, val: np.full(len(at), float(TaskContext.get().partitionId()))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks = {r.idx: r.val for r in found}
+    assert len(tasks) == 36 and len(set(tasks.values())) == 12 and all(tasks[k] == tasks[k - k % 3] for k in range(36))
+    rows = packed[0].where("starts is not null").select(F.input_file_name().alias("f")).distinct().count()
+    assert rows > 1
+
+
+def _linked_lines(spark):
+    """Lines of parts of 40, 9 and 30 suppliers, with scattered indices, and B' B's own indices."""
+    rng = np.random.default_rng(5)
+    idx, entries = np.sort(rng.choice(400, 79, replace=False)), []
+    for k, own in enumerate(np.split(rng.permutation(79), [40, 49])):
+        for r in range(12 * len(own)):
+            pair = [own[r % len(own)], own[(r + 1) % len(own)], own[rng.integers(len(own))]]
+            entries += [(1000 * k + r, int(idx[p]), float(q)) for p, q in zip(pair, (20 + r % 9, 5, 3))]
+    return spark.createDataFrame(entries, "row long, col long, val double"), idx
+
+
+@pytest.mark.parametrize("follow", [False, True])
+def test_parts_beyond_a_task_go_by_blocks(spark, follow):
+    """A part that exceeds a task had no other way: it took its executor's memory."""
+    lines, idx = _linked_lines(spark)
+    parts = GP.GramParts(lines, idx)
+    dense = np.zeros((4000, 79))
+    for r, c, v in lines.collect():
+        dense[r, np.searchsorted(idx, c)] += v
+    x = np.arange(79.0) - 20
+    assert np.allclose(parts.apply(x), dense.T @ (dense @ x)) and sorted(set(parts.sizes())) == [9, 30, 40]
+    b, large = np.arange(1.0, 80), parts.sizes() > 10
+    y = precond.products_by_blocks(parts, large, b, 1e-7, 4e-5, follow, block=8)
+    assert (y.round(4) == b[large]).all()
+    assert precond.products_by_blocks(parts, large, b, 1e-7, 4e-5, follow, block=8, cycles=0) is None
+
+
+@pytest.mark.parametrize("name", ["blocks", "all blocks", "blocks fail"])
+def test_parts_of_all_sizes_are_applied(spark, monkeypatch, name):
+    lines, idx = _linked_lines(spark)
+    if name == "blocks fail":
+        monkeypatch.setattr(precond, "products_by_blocks", lambda *given: None)
+    b = spark.createDataFrame([(int(i), k + 1.0) for k, i in enumerate(idx)], "idx long, val double")
+    got = sorted(map(tuple, Q._by_inverse_of_parts(lines, b, False, 8 if name == "all blocks" else 10).collect()))
+    assert got == [(int(i), k + 1.0) for k, i in enumerate(idx)]
+
+
 @pytest.mark.parametrize("name", ["sdainv_apply", "ainv_apply"])
 def test_inverse_is_applied_in_few_jobs(spark, name):
     """However many steps there are: a job a step and product took most of the time."""
